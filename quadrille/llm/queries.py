@@ -130,12 +130,12 @@ WITH RECURSIVE c AS (SELECT source AS src, count(*) AS n FROM documents GROUP BY
 sh AS (SELECT src, CAST(greatest(1, floor(256.0::DOUBLE * pow(n::DOUBLE, 0.5::DOUBLE) / sum(pow(n::DOUBLE, 0.5::DOUBLE)) OVER ())) AS BIGINT) AS share FROM c),
 s AS (SELECT list(src ORDER BY src) AS src, list(share ORDER BY src) AS share, CAST(sum(share) AS BIGINT) AS period FROM sh),
 run AS (
-  SELECT CAST(0 AS BIGINT) AS t, list_transform(share, x -> CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS turn FROM s
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(share, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS turn FROM s
   UNION ALL
-  SELECT t, list_transform(done, (d, i) -> CASE WHEN i = p THEN d + 1 ELSE d END), p, done[p] FROM (
+  SELECT t, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p, done[p] FROM (
     SELECT run.t + 1 AS t, run.done, list_sort(list_transform(
-      list_filter(range(1, len(s.src) + 1), i -> run.done[i] * s.period < s.share[i] * (run.t + 1) AND run.done[i] < s.share[i]),
-      i -> {'due': ((run.done[i] + 1) * s.period + s.share[i] - 1) // s.share[i], 'i': i}))[1].i AS p
+      list_filter(range(1, len(s.src) + 1), lambda i: run.done[i] * s.period < s.share[i] * (run.t + 1) AND run.done[i] < s.share[i]),
+      lambda i: {'due': ((run.done[i] + 1) * s.period + s.share[i] - 1) // s.share[i], 'i': i}))[1].i AS p
     FROM run, s WHERE run.t < s.period)),
 plan AS (SELECT s.src[pick] AS src, s.share[pick] AS share, s.period, turn, t - 1 AS slot FROM run, s WHERE t > 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents)
