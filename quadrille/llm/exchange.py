@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.textops import U64, text_bytes
 
+ROW_BYTES, LEAST_BLOCK = 8 << 10, 2 << 20
 REQUEST = "block long, stream int, part int, keys binary, vals binary"
 ANSWER = "block long, stream int, part int, reply binary"
 _REQUEST_ARROW = pa.schema([("block", pa.int64()), ("stream", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -51,8 +52,14 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, U64), dtype=U64)
 
 
-def block_count(docs: DataFrame, bytes_a_block: int) -> int:
-    return max(2, -(-text_bytes(docs) // bytes_a_block))
+def block_count(docs: DataFrame, block_bytes: int | None = None) -> int:
+    """Blocks, and ranges, of the exchange. Each block sends a row to each range, so both
+    must grow with the square root of the input for rows to stay worth their overhead:
+    a block has the geometric mean of the input and ROW_BYTES, 2 MB at least (16 MB of 30 GB,
+    0.9 GB of 100 TB, where executors are larger too)."""
+    total = text_bytes(docs)
+    block_bytes = block_bytes or max(LEAST_BLOCK, int((total * ROW_BYTES) ** 0.5))
+    return max(2, -(-total // block_bytes))
 
 
 def by_hash(docs: DataFrame, n: int) -> DataFrame:

@@ -57,7 +57,7 @@ def _sum(keys, owner, table):
     return out
 
 
-def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_score (the sum of ln S over
     its words; null without words). n-grams of two words and more that the corpus
     has fewer than ``min_count`` times count as unseen."""

@@ -68,7 +68,7 @@ def factors(source: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return at[heads], lengths + width - 1, source[heads].astype(np.int64) - 1
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int = 6 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int | None = None) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts
     earlier. One row per row of ``docs``: doc_id, n_words, n_removed, kept_text and
     the factors (first word, words, reference block)."""

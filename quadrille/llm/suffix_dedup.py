@@ -179,7 +179,7 @@ def _second_anchor(part: bytes, windows: int, width: int, gram: int):
     return zip(least[head].tolist(), head.tolist(), np.diff(np.append(head, windows)).tolist(), strict=True)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes: int = 4 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes: int | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere
     else. One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept (the remaining bytes)."""
@@ -276,7 +276,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
         column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
         return pa.table([table["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(np.diff(begun[block.offsets])), column], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    codes = answer(ask(blocks, keys_of, n), _codes)
+    codes = answer(ask(blocks, keys_of, max(1, n // 8)), _codes)  # a segment is some 170 windows
     shipped = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, SEGMENT)
     sorted_ = shipped.groupBy("shard").applyInArrow(sort, ANSWER)
     replies = codes.unionByName(sorted_)
