@@ -100,12 +100,24 @@ def sent(block: int, streams: list[tuple[np.ndarray, np.ndarray | None]], n_part
     return pa.table(rows, schema=_REQUEST_ARROW)
 
 
-def ask(blocks: DataFrame, keys_of: Callable[[pa.Table], list], n_parts: int) -> DataFrame:
-    """Requests of all blocks; keys_of gives a block's streams."""
+def _by_stream(replies: pa.Table, dtype, n_streams: int) -> list[np.ndarray]:
+    order = sorted(zip(replies["stream"].to_pylist(), replies["part"].to_pylist(), replies["reply"].to_pylist(), strict=True), key=lambda x: x[:2])
+    got = [[unpack(r, dtype) for s, _, r in order if s == k] for k in range(n_streams)]
+    return [np.concatenate(g) if g else np.zeros(0, dtype) for g in got]
+
+
+def ask(blocks: DataFrame, keys_of: Callable, n_parts: int, earlier: DataFrame | None = None, dtype=None, n_streams: int = 0) -> DataFrame:
+    """Requests of all blocks; keys_of gives a block's streams. In a later round it also
+    gets the ``earlier`` answers by stream."""
 
     def send(table: pa.Table) -> pa.Table:
         return sent(table["block"][0].as_py(), keys_of(table), n_parts)
 
+    def send_again(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return sent(table["block"][0].as_py(), keys_of(table, _by_stream(replies, dtype, n_streams)), n_parts)
+
+    if earlier is not None:
+        return blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(send_again, REQUEST)
     return blocks.groupBy("block").applyInArrow(send, REQUEST)
 
 
@@ -130,9 +142,7 @@ def resolve(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, l
     """finish(documents of a block, its answers by stream in key order) gives rows."""
 
     def meet(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        order = sorted(zip(replies["stream"].to_pylist(), replies["part"].to_pylist(), replies["reply"].to_pylist(), strict=True), key=lambda x: x[:2])
-        got = [[unpack(r, dtype) for s, _, r in order if s == k] for k in range(n_streams)]
-        return finish(docs, [np.concatenate(g) if g else np.zeros(0, dtype) for g in got])
+        return finish(docs, _by_stream(replies, dtype, n_streams))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 

@@ -4,7 +4,8 @@ Counts of all n-grams up to ``order`` are partitioned by hash. Each block of
 documents is exploded into its n-grams, combined to distinct ones with counts, and
 joined to the count tables through the hash exchange: a range of the hash space sums
 the counts of all blocks and answers each block. The scores of a document's words
-are then summed per document.
+are then summed per document. Longer n-grams than two words are asked for in a second
+round, and only where both bigrams at their ends are seen: no other can be.
 
     S(w | h) = c(hw) / c(h)           where hw is seen (c >= min_count)
              = backoff * S(w | h')    otherwise, h' being h without its first word
@@ -60,18 +61,34 @@ def _sum(keys, owner, table):
 def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_score (the sum of ln S over
     its words; null without words). n-grams of two words and more that the corpus
-    has fewer than ``min_count`` times count as unseen."""
+    has fewer than ``min_count`` (2 at least) times count as unseen."""
     src = docs.select("doc_id", "text")
     n = block_count(src, block_bytes)
     blocks = by_hash(src, n)
 
-    def keys_of(table: pa.Table):
+    def counted(hashes: np.ndarray):
+        distinct, _, inverse = groups(hashes)
+        return distinct, np.bincount(inverse, minlength=len(distinct)).astype(U64)
+
+    def hopeful(found, seen_pairs: np.ndarray, n: int) -> np.ndarray:
+        """Which n-grams begin and end with bigrams that are seen."""
+        at = found[n - 1][1]
+        return (seen_pairs[at] >= min_count) & (seen_pairs[at + n - 2] >= min_count)
+
+    def by_first_word(found, n: int, total: np.ndarray, words: int) -> np.ndarray:
+        full = np.zeros(words, np.float64)
+        hashes, at = found[n - 1]
+        full[at] = total[groups(hashes)[2]]
+        return full
+
+    def short(table: pa.Table):
+        found, first = _grams(table, min(order, 2))
+        return [(_ALL, np.array([first[-1]], U64)), *(counted(h) for h, _ in found)]
+
+    def long(table: pa.Table, replies: list[np.ndarray]):
         found, first = _grams(table, order)
-        streams = [(_ALL, np.array([first[-1]], U64))]
-        for hashes, _ in found:
-            distinct, _, inverse = groups(hashes)
-            streams.append((distinct, np.bincount(inverse, minlength=len(distinct)).astype(U64)))
-        return streams
+        pairs = by_first_word(found, 2, replies[2], int(first[-1]))
+        return [(np.zeros(0, U64), None)] * 3 + [counted(found[n - 1][0][hopeful(found, pairs, n)]) for n in range(3, order + 1)]
 
     def finish(table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
         found, first = _grams(table, order)
@@ -79,11 +96,13 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: i
         words = int(first[-1])
         log = np.zeros(words)
         if words:
-            counts = []
-            for (hashes, at), total in zip(found, replies[1:], strict=True):
+            counts = [by_first_word(found, n, replies[n], words) for n in range(1, min(order, 2) + 1)]
+            for n in range(3, order + 1):
                 full = np.zeros(words, np.float64)
-                full[at] = total[groups(hashes)[2]].astype(np.float64)
-                counts.append(full)  # by the n-gram's first word
+                good = hopeful(found, counts[1], n)
+                hashes, at = found[n - 1]
+                full[at[good]] = replies[n][groups(hashes[good])[2]]
+                counts.append(full)
             place = np.arange(words) - np.repeat(first[:-1], n_words)
             log = np.log(counts[0] / float(replies[0][0])) + np.minimum(place, order - 1) * np.log(backoff)
             for k in range(2, order + 1):  # the longest seen wins
@@ -97,4 +116,7 @@ def lm_score(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: i
         score = np.bincount(doc, weights=log, minlength=len(n_words))
         return pa.table([table["doc_id"].cast(pa.int64()), pa.array(n_words), pa.array(score, mask=n_words == 0)], names=["doc_id", "n_words", "log_score"])
 
-    return resolve(blocks, answer(ask(blocks, keys_of, n), _sum), finish, U64, order + 1, SCHEMA)
+    answers = answer(ask(blocks, short, n), _sum)
+    if order > 2:
+        answers = answers.unionByName(answer(ask(blocks, long, n, answers, U64, 3), _sum))
+    return resolve(blocks, answers, finish, U64, order + 1, SCHEMA)
