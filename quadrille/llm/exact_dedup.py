@@ -9,8 +9,9 @@ these group by the text itself, so that a collision of fingerprints never merges
 two texts. The others are done.
 
 Scale: a partition sends one column for each slot range, at most one entry for each
-distinct fingerprint. The groups of copies are pre-aggregated map-side; the join that
-hands each copy its group is an equi-join that adaptive execution splits when skewed.
+distinct fingerprint. The groups of copies are pre-aggregated map-side; in the join that
+hands each copy its group, a group over SALT_ROWS copies is dealt to as many salts as its
+fingerprint's counter calls for.
 
 Defined cases: null text counts as empty (one group with the empty texts); null
 doc_ids are smaller than all others; of rows that repeat both text and the largest
@@ -28,6 +29,10 @@ from quadrille.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 from quadrille.llm.textops import U64
 
 
+#: Copies that meet in one task when their group is handed out.
+SALT_ROWS = 1024
+
+
 class CountingQuotientFilter:
     """``slots``: entries in each quotient's run; ``remainders``: sorted in each run;
     ``counts``: of each remainder. Quotients cover [first, first + len(slots))."""
@@ -116,14 +121,16 @@ def exact_dedup(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFra
     two) tasks merge the filters."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp"))
-    heavy = repeated_fingerprints(rows.select("fp"), qbits, n_ranges).select("fp")
+    heavy = repeated_fingerprints(rows.select("fp"), qbits, n_ranges)
 
     hashed = docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256"))
-    alone = hashed.join(heavy, "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = hashed.join(heavy.select("fp"), "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
-    verify = rows.join(heavy, "fp", "left_semi")
-    classes = verify.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = verify.select("doc_id", "text").join(classes, "text").select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
+    verify = rows.join(heavy.select("fp", F.ceil(F.col("fp_count") / SALT_ROWS).alias("salts")), "fp")
+    classes = verify.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("salts").alias("salts"))
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    salted = verify.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
+    copies = salted.join(classes, ["text", "salt"]).select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
     turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1)))
     copies = copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
     return alone.unionByName(copies.select(alone.columns))
