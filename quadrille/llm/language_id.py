@@ -283,8 +283,10 @@ def _calibrate(model: Model, rows: list[tuple[str, str, bool]]) -> None:
 def learn(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 20_000) -> Model | None:
     """The model of the labelled rows (non-null lang) outside the held-out fifth."""
     labelled = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    # first within 64 parts of a language, so that no task sees all its rows
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = labelled.withColumn("r", rank).where(F.col("r") <= sample_docs).select("doc_id", (F.col("h") % 6 == 0).alias("calibrates"), "r")
+    chosen = labelled.withColumn("p", part).where(F.col("p") <= sample_docs).withColumn("r", rank).where(F.col("r") <= sample_docs).select("doc_id", (F.col("h") % 6 == 0).alias("calibrates"), "r")
     texts = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(F.length("text") <= sample_chars).where(~held_out())
     rows = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text", "calibrates", "doc_id").collect()
     return train([(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[3], r[1]))])
