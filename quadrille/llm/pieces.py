@@ -17,6 +17,7 @@ no pieces; U+2581 in a text is kept apart from a blank (byte pieces).
 """
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Word paths kept by a worker; the cache starts anew beyond.
 CACHE = 400_000
+#: Rows that a worker holds as Python objects at a time.
+ROWS = 250
 
 
 @dataclass
@@ -51,7 +54,15 @@ class Vocabulary:
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, encodes: bool = True):
+        self.bytes_at = vocabulary.bytes_at
+        self.out = [p.replace(BLANK, " ").encode() for p in vocabulary.pieces]
+        for b, i in enumerate(self.bytes_at):
+            self.out[i] = bytes([b])
+        if encodes:
+            self._learn(vocabulary)
+
+    def _learn(self, vocabulary: Vocabulary) -> None:
         self.automaton = ahocorasick.Automaton()
         self.single = set()
         plain = [(i, p.replace(BLANK, " ")) for i, p in enumerate(vocabulary.pieces) if i not in vocabulary.special and p]
@@ -62,10 +73,6 @@ class Codec:
             if len(piece) == 1:
                 self.single.add(piece)
         self.automaton.make_automaton()
-        self.bytes_at = vocabulary.bytes_at
-        self.out = [p.replace(BLANK, " ").encode() for p in vocabulary.pieces]
-        for b, i in enumerate(self.bytes_at):
-            self.out[i] = bytes([b])
         whole = any(" " in p.lstrip(" ") or "\n" in p for _, p in plain)
         self.units = (lambda text: [text]) if whole else re.compile(r" *[^ \n]+| +|\n").findall
         self.kept: dict[str, bytes] = {}
@@ -100,7 +107,7 @@ class Codec:
         return ids
 
     def _new(self, unit: str) -> bytes:
-        got = np.array(self.path(unit), np.int32).tobytes()
+        got = array("i", self.path(unit)).tobytes()
         if len(unit) <= 64:
             if len(self.kept) >= CACHE:
                 self.kept.clear()
@@ -117,15 +124,16 @@ class Codec:
         return b"".join(map(self.out.__getitem__, ids))[1:].decode()
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple[int, bool], Codec] = {}
 
 
-def _codec(broadcast) -> Codec:
+def _codec(broadcast, encodes: bool) -> Codec:
     """One codec a worker process, kept between its tasks."""
-    if broadcast.value is not None and id(broadcast.value) not in _codecs:
+    key = id(broadcast.value), encodes
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[id(broadcast.value)] = Codec(broadcast.value)
-    return _codecs[id(broadcast.value)]
+        _codecs[key] = Codec(broadcast.value, encodes)
+    return _codecs[key]
 
 
 def encode_pieces(docs: DataFrame, carry: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
@@ -136,10 +144,10 @@ def encode_pieces(docs: DataFrame, carry: tuple[str, ...] = (), model: str = MOD
     schema = T.StructType([*(src.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(vocabulary, True)
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
                 texts = batch.column(len(kept)).to_pylist()
                 ids = [codec.encode(t or "") for t in texts]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -159,12 +167,12 @@ def decode_pieces(encoded: DataFrame, carry: tuple[str, ...] = (), model: str =
     schema = T.StructType([*(src.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(vocabulary, False)
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
                 lists = batch.column(len(kept))
-                flat = lists.flatten().to_pylist()
+                flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
                 sizes = np.diff(np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]))
                 ends = np.cumsum(sizes).tolist()
                 known = lists.is_valid().to_pylist()
