@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.textops import U64, byte_chunks, mix
+from quadrille.llm.textops import U64, byte_chunks, give_back, mix
 
 ORDER = 4
 _CODES = 0x110000
@@ -318,6 +318,7 @@ def identify_language(docs: DataFrame, model: Model | None = None, reject_z: flo
                 names = [model.languages[k] if k >= 0 else "und" for k in lang] if model else ["und"] * len(part)
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(names), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(ce, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"])
+        give_back()
 
     src = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double")
@@ -339,5 +340,6 @@ def keep_identified(docs: DataFrame, model: Model | None = None, reject_z: float
             for a, b in byte_chunks(sizes, 1 << 20):
                 rejected = shared.value.predict([t or "" for t in texts[a:b]], reject_z)[2]
                 yield batch.slice(a, b - a).filter(pa.array(~rejected))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

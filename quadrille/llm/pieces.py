@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quadrille.llm.textops import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Word paths kept by a worker; the cache starts anew beyond.
-CACHE = 400_000
+CACHE = 300_000
 #: Rows that a worker holds as Python objects at a time.
 ROWS = 250
 
@@ -155,6 +157,8 @@ def encode_pieces(docs: DataFrame, carry: tuple[str, ...] = (), model: str = MOD
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(none, False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, mask=none), lists], names=[*kept, "n_tokens", "token_ids"])
+        codec.kept.clear()
+        give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -178,5 +182,6 @@ def decode_pieces(encoded: DataFrame, carry: tuple[str, ...] = (), model: str =
                 known = lists.is_valid().to_pylist()
                 texts = [codec.decode(flat[e - s : e]) if k else None for e, s, k in zip(ends, sizes.tolist(), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
+        give_back()
 
     return src.mapInArrow(run, schema)

@@ -6,6 +6,8 @@ is a handful of numpy passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
@@ -154,3 +156,13 @@ def text_bytes(docs) -> int:
 
 def sha256_hex(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: an idle worker keeps none of a task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries return it themselves
+        pass
