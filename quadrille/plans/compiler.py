@@ -359,11 +359,13 @@ def _open(t: S.Triple) -> S.Triple:
 
 
 def output(rel: Relation, names: list[str], terms: bool = False) -> DataFrame:
-    """Columns by variable name: native values and IRI texts, or canonical terms."""
+    """Columns by variable name: native values, IRI texts and lexical forms, or canonical
+    terms."""
     cols = []
     for n in names:
         v = Value(F.col(rel.vars[n].col), rel.vars[n].kind, rel.vars[n].template)
-        cols.append((term(v) if terms else lexical(v) if v.kind == "iri" else v.col).alias(n))
+        plain = F.coalesce(lexical(v), v.col) if v.kind == "term" else lexical(v) if v.kind == "iri" else v.col
+        cols.append((term(v) if terms else plain).alias(n))
     return rel.df.select(*cols)
 
 
