@@ -134,3 +134,16 @@ def exact_dedup(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFra
     turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1)))
     copies = copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
     return alone.unionByName(copies.select(alone.columns))
+
+
+def keep_one(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps: whole rows
+    meet the repeated fingerprints once, and only copies are grouped by their text (each
+    partition sends one row of a group at most)."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("fp"))
+    heavy = repeated_fingerprints(docs.select(F.xxhash64(text)), qbits, n_ranges)
+    met = rows.join(heavy, "fp", "left")
+    order = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63)))
+    copies = met.where("fp_count is not null").groupBy(F.coalesce("row.text", F.lit("")).alias("t")).agg(F.max_by("row", order).alias("row"))
+    return met.where("fp_count is null").select("row.*").unionByName(copies.select("row.*"))

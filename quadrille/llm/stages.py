@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.exact_dedup import exact_dedup
+from quadrille.llm.exact_dedup import keep_one
 from quadrille.llm.jaccard import ngram_jaccard
 from quadrille.llm.language_id import keep_identified
 from quadrille.llm.mixing import in_mixed_order, mix_sources
@@ -17,10 +17,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal texts stays: the one with the largest doc_id."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__kept"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    return keep_one(docs)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
