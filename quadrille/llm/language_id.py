@@ -33,6 +33,8 @@ from quadrille.llm.textops import U64, byte_chunks, give_back, mix
 
 ORDER = 4
 _CODES = 0x110000
+#: Characters that are judged at a time, or one longer text.
+CHUNK = 1 << 18
 _letters: np.ndarray | None = None
 
 
@@ -309,7 +311,7 @@ def identify_language(docs: DataFrame, model: Model | None = None, reject_z: flo
         for batch in batches:
             texts = batch.column(2).to_pylist()
             sizes = np.cumsum([0, *(len(t or "") for t in texts)])
-            for a, b in byte_chunks(sizes, 1 << 20):
+            for a, b in byte_chunks(sizes, CHUNK):
                 part = [t or "" for t in texts[a:b]]
                 if model is None:
                     lang, score, rejected, ce = [-1] * len(part), np.zeros(len(part)), np.ones(len(part), bool), np.zeros(len(part))
@@ -337,7 +339,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, reject_z: float
         for batch in batches:
             texts = batch.column(at).to_pylist()
             sizes = np.cumsum([0, *(len(t or "") for t in texts)])
-            for a, b in byte_chunks(sizes, 1 << 20):
+            for a, b in byte_chunks(sizes, CHUNK):
                 rejected = shared.value.predict([t or "" for t in texts[a:b]], reject_z)[2]
                 yield batch.slice(a, b - a).filter(pa.array(~rejected))
         give_back()
