@@ -215,14 +215,21 @@ def _kneser_ney(sym: np.ndarray, offsets: np.ndarray, discount: float = 0.75):
     return grams, contexts, unknown
 
 
+def _find(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted array, and whether it is there."""
+    at = np.searchsorted(have, keys)
+    inside = at < len(have)
+    inside[inside] = have[at[inside]] == keys[inside]
+    return at, inside
+
+
 def _log_p(lang, n: int, keys: np.ndarray) -> np.ndarray:
     """log P of any n-grams under one language's model."""
     grams, contexts, unknown = lang
     if n == 0:
         return np.full(len(keys), np.log(unknown))
     have, p = grams[n - 1]
-    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-    hit = have[at] == keys
+    at, hit = _find(have, keys)
     out = np.empty(len(keys))
     out[hit] = np.log(p[at[hit]])
     miss = keys[~hit]
@@ -230,15 +237,16 @@ def _log_p(lang, n: int, keys: np.ndarray) -> np.ndarray:
         rest = _log_p(lang, n - 1, miss & U64((1 << (16 * (n - 1))) - 1))
         if n > 1:
             heads, back = contexts[n - 2]
-            c = miss >> U64(16)
-            at = np.minimum(np.searchsorted(heads, c), len(heads) - 1)
-            rest = rest + np.where(heads[at] == c, back[at], 0.0)
+            at_c, known = _find(heads, miss >> U64(16))
+            rest[known] += back[at_c[known]]
         out[~hit] = rest
     return out
 
 
 def train(rows: list[tuple[str, str, bool]]) -> Model | None:
-    """rows: language, text, whether the row is kept for calibration."""
+    """rows: language, text, whether the row is kept for calibration. Languages without a
+    letter in their rows are not learnt."""
+    rows = [r for r in rows if any(map(str.isalpha, r[1]))]
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return None

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings that count as equal.
+# Spellings that count as equal, wherever they stand.
 SPELLINGS = {
-    "licence": "license",
-    "sub license": "sublicense",
+    "licenc": "licens",
+    "sub licens": "sublicens",
     "non infringement": "noninfringement",
     "merchantibility": "merchantability",
     "organisation": "organization",
@@ -78,10 +78,10 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 def canonical(text: Column) -> Column:
     """Canonical form of a licence text."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, NOT_WORD, " ")), F.lit(" "))
+    t = F.trim(F.regexp_replace(t, NOT_WORD, " "))
     for spelt, as_ in SPELLINGS.items():
-        t = F.replace(t, F.lit(f" {spelt} "), F.lit(f" {as_} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(spelt), F.lit(as_))
+    return t
 
 
 def known_digests(spark) -> DataFrame:

@@ -111,10 +111,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 def _canonical_sql(column: str) -> str:
     t = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
-    t = rf"' ' || trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    t = rf"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for a, b in SPELLINGS.items():
-        t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"trim({t})"
+        t = f"replace({t}, '{a}', '{b}')"
+    return t
 
 
 def _op6() -> str:
