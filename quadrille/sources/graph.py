@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,19 +120,31 @@ class TripleGraph(Graph):
 
 
 class Table:
-    """A relation whose rows are subjects. key: SQL expression (None: a hash of the whole
-    row). columns: predicate -> column or (column, template of the node it refers to)."""
+    """A relation whose rows are subjects. read: gives the frame, when a pattern needs it.
+    key: SQL expression (None: a hash of the whole row). columns: predicate -> column or
+    (column, template of the node it refers to)."""
 
-    def __init__(self, df: DataFrame, cls: str, template: str, key: str | None, columns: dict):
-        self.df, self.cls, self.template, self.columns = df, cls, template, columns
-        self.key = F.expr(key) if key else F.xxhash64(*df.columns)
+    def __init__(self, read: Callable[[], DataFrame], cls: str, template: str, key: str | None, columns: dict):
+        self.read, self.cls, self.template, self.columns, self._key = read, cls, template, columns, key
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.read()
+
+    @cached_property
+    def types(self) -> dict[str, str]:
+        return dict(self.df.dtypes)
+
+    @property
+    def key(self) -> Column:
+        return F.expr(self._key) if self._key else F.xxhash64(*self.df.columns)
 
     def object(self, predicate: str) -> tuple[Column, str, str]:
         """Column, kind and template of a predicate's object."""
         c = self.columns[predicate]
         if isinstance(c, tuple):
             return F.col(c[0]), "iri", c[1]
-        kind = self.df.select(F.expr(c)).dtypes[0][1]
+        kind = self.types.get(c) or self.df.select(F.expr(c)).dtypes[0][1]
         return F.expr(c), {"string": "str", "double": "num", "float": "num", "boolean": "bool", "date": "ts"}.get(kind, "ts" if kind.startswith("timestamp") else "num" if kind.startswith("decimal") else "int"), ""
 
 
@@ -279,7 +292,7 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
         return f"{EX}{name}/"
 
     def table(name: str, cls: str, key: str | None, columns: dict, template: str | None = None) -> Table:
-        return Table(read(name), EX + cls, template or node(name), key, {EX + p: c for p, c in columns.items()})
+        return Table(partial(read, name), EX + cls, template or node(name), key, {EX + p: c for p, c in columns.items()})
 
     return MappedGraph(
         spark,
