@@ -20,9 +20,10 @@ anchor.
 
 Scale: text crosses the network once to form blocks, and each distinct segment that needs
 sorting once for each block that holds it. An exact copy or passage in every document costs one
-small entry a block. A shard sorts its segments in batches of ``batch_bytes``, an anchor
-never being cut; an anchor with more distinct contexts than that is dealt again by a
-second anchor (``deal_again``), the greatest hash, over batches of their own.
+small entry a block. A shard sorts its segments in batches of ``batch_bytes``, an
+anchor never being cut. The segments of an anchor that has more than ``hot_contexts``
+different ones (a line in very many documents) are cut where a second anchor, the greatest
+hash of a window, changes, and spread over the shards by both anchors.
 
 Defined cases: null text counts as empty; texts under ``width`` bytes repeat nothing
 themselves; equal rows repeat each other; a window may repeat within one document.
@@ -42,11 +43,11 @@ from quadrille.llm.suffix import common_prefixes, suffix_array
 from quadrille.llm.textops import RADIX, U64, byte_chunks, mix, utf8_column
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-SEGMENT = "shard long, anchor long, block long, entry int, windows int, weight int, segment binary"
-_SEGMENT_ARROW = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("windows", pa.int32()), ("weight", pa.int32()), ("segment", pa.binary())])
+SEGMENT = "shard long, anchor long, block long, entry int, at int, windows int, weight int, segment binary"
+_SEGMENT_ARROW = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("at", pa.int32()), ("windows", pa.int32()), ("weight", pa.int32()), ("segment", pa.binary())])
 _PLACE_BITS = 28  # a chunk, or one longer document, has fewer bytes than 2**28
-#: Codes of an answer.
-NOTHING, WHOLE, SORT, WHOLE_AND_SORT = 0, 1, 2, 3
+#: Bits of an answer: repeated as a whole; wanted by a shard; its anchor has very many contexts.
+WHOLE, SORT, HOT = 1, 2, 4
 #: A byte that no UTF-8 text holds: between segments in a shard.
 _GAP = np.uint8(0xFF)
 
@@ -133,26 +134,27 @@ class _Block:
         self.values = self.digest[self.sample] | many.astype(U64) | (again[self.sample].astype(U64) << U64(1))
 
 
-def _codes(keys, owner, table):
-    """What each entry of a range needs; entries come in block order."""
-    values = np.concatenate([unpack(v, U64) for v in table["vals"].to_pylist()])
-    digest = values >> U64(2)
-    order = np.lexsort((owner, digest, keys))
-    k, d, v = keys[order], digest[order], values[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new_string = new_key | np.concatenate([[True], d[1:] != d[:-1]])
-    string, group = np.cumsum(new_string) - 1, np.cumsum(new_key) - 1
-    weight = np.bincount(string) + np.bincount(string, weights=(v & U64(1)).astype(float))
-    whole = weight[string] > 1
-    alone = np.bincount(group[new_string])[group] == 1
-    within = (v & U64(2)) > 0
-    sort = ~whole & (~alone | within)
-    needed = np.bincount(group, weights=sort) > 0
-    code = np.where(whole, WHOLE, np.where(sort, SORT, NOTHING))
-    code[whole & new_string & needed[group]] = WHOLE_AND_SORT
-    out = np.empty(len(keys), np.uint8)
-    out[order] = code
-    return out
+def _codes(hot_contexts: int):
+    def codes(keys, owner, table):
+        """What each entry of a range needs; entries come in block order."""
+        values = np.concatenate([unpack(v, U64) for v in table["vals"].to_pylist()])
+        digest = values >> U64(2)
+        order = np.lexsort((owner, digest, keys))
+        k, d, v = keys[order], digest[order], values[order]
+        new_key = np.concatenate([[True], k[1:] != k[:-1]])
+        new_string = new_key | np.concatenate([[True], d[1:] != d[:-1]])
+        string, group = np.cumsum(new_string) - 1, np.cumsum(new_key) - 1
+        weight = np.bincount(string) + np.bincount(string, weights=(v & U64(1)).astype(float))
+        whole = weight[string] > 1
+        contexts = np.bincount(group[new_string])[group]
+        sort = ~whole & ((contexts > 1) | ((v & U64(2)) > 0))
+        needed = np.bincount(group, weights=sort)[group] > 0
+        wanted = sort | (whole & new_string & needed)  # one copy of a whole string is a partner
+        out = np.empty(len(keys), np.uint8)
+        out[order] = whole * WHOLE + wanted * SORT + (wanted & (contexts > hot_contexts)) * HOT
+        return out
+
+    return codes
 
 
 def _sort_batch(parts: list[bytes], windows: np.ndarray, width: int) -> np.ndarray:
@@ -172,14 +174,14 @@ def _sort_batch(parts: list[bytes], windows: np.ndarray, width: int) -> np.ndarr
 
 
 def _second_anchor(part: bytes, windows: int, width: int, gram: int):
-    """Cuts a segment where its windows' greatest gram hash changes: (key, first, windows)."""
+    """Cuts a segment where its windows' greatest gram hash changes: (hash, first, windows)."""
     h = ~gram_hashes(np.frombuffer(part, np.uint8), gram)
     least = sliding_min(h, width - gram + 1)[:windows]
     head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return zip(least[head].tolist(), head.tolist(), np.diff(np.append(head, windows)).tolist(), strict=True)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes: int | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes: int | None = None, batch_bytes: int = 4 << 20, hot_contexts: int = 4096) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere
     else. One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept (the remaining bytes)."""
@@ -198,18 +200,25 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table, width, gram)
         codes = codes_by_entry(replies)
-        chosen = np.flatnonzero(codes >= SORT)
-        sample = block.sample[chosen]
-        first, windows = block.first[sample], block.windows[sample]
         view = memoryview(np.ascontiguousarray(block.data))
-        texts = [bytes(view[s:e]) for s, e in zip(first.tolist(), (first + windows + width - 1).tolist(), strict=True)]
-        key = block.keys[chosen]
+        rows: list[tuple] = []
+        for e in np.flatnonzero(codes & SORT).tolist():
+            k = block.sample[e]
+            first, windows, key = int(block.first[k]), int(block.windows[k]), int(block.keys[e])
+            text, weight = bytes(view[first : first + windows + width - 1]), int(codes[e] & WHOLE)
+            if codes[e] & HOT:
+                for second, at, n_windows in _second_anchor(text, windows, width, gram):
+                    rows.append((key ^ second, e, at, n_windows, weight, text[at : at + n_windows + width - 1]))
+            else:
+                rows.append((key, e, 0, windows, weight, text))
+        key, entry, at, windows, weight, texts = zip(*rows, strict=True) if rows else [()] * 6
+        key = mix(np.array(key, U64))
         own = table["block"][0].as_py() if table.num_rows else 0
-        columns = [(key % U64(4 * n)).astype(np.int64), key.view(np.int64), np.full(len(key), own), chosen.astype(np.int32), windows.astype(np.int32), (codes[chosen] == WHOLE_AND_SORT).astype(np.int32)]
+        columns = [(key % U64(4 * n)).astype(np.int64), key.view(np.int64), np.full(len(key), own), *(np.array(c, np.int32) for c in (entry, at, windows, weight))]
         return pa.table([*map(pa.array, columns), pa.array(texts, pa.binary())], schema=_SEGMENT_ARROW)
 
     def sort(table: pa.Table) -> pa.Table:
-        table = table.select(["anchor", "block", "entry", "windows", "weight", "segment"]).sort_by([("anchor", "ascending"), ("block", "ascending"), ("entry", "ascending")])
+        table = table.sort_by([("anchor", "ascending"), ("block", "ascending"), ("entry", "ascending"), ("at", "ascending")])
         anchor, windows, weight = (table[c].to_numpy() for c in ("anchor", "windows", "weight"))
         parts = table["segment"].to_pylist()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -220,46 +229,27 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
             last = i == len(edge) - 1
             if last or total[edge[i + 1]] - total[edge[a]] > batch_bytes:
                 lo, hi = edge[a], edge[i]
-                if total[hi] - total[lo] > 2 * batch_bytes:
-                    flags = deal_again(parts[lo:hi], windows[lo:hi])
-                else:
-                    flags = _sort_batch(parts[lo:hi], windows[lo:hi], width)
+                flags = _sort_batch(parts[lo:hi], windows[lo:hi], width)
                 bits.extend(np.split(flags, np.cumsum(windows[lo:hi])[:-1]))
                 a = i
         wanted = np.flatnonzero(weight == 0)
         replies = [np.packbits(bits[i]).tobytes() for i in wanted.tolist()]
         rows = table.take(wanted)
-        return pa.table([rows["block"], pa.array(np.ones(len(wanted), np.int32)), rows["entry"], pa.array(replies, pa.binary())], schema=_ANSWER_ARROW)
-
-    def deal_again(parts: list[bytes], windows: np.ndarray) -> np.ndarray:
-        first = np.cumsum(windows) - windows
-        flags = np.zeros(int(windows.sum()), bool)
-        pieces = sorted((key, int(f) + s, i, s, w) for i, (p, n_windows, f) in enumerate(zip(parts, windows.tolist(), first, strict=True)) for key, s, w in _second_anchor(p, n_windows, width, gram))
-        a, size = 0, 0
-        for j, (key, _, _, _, w) in enumerate(pieces):
-            size += w + width
-            if j + 1 == len(pieces) or (pieces[j + 1][0] != key and size > batch_bytes):
-                group = pieces[a : j + 1]
-                got = _sort_batch([parts[i][s : s + k + width - 1] for _, _, i, s, k in group], np.array([x[4] for x in group]), width)
-                at = 0
-                for _, to, _, _, k in group:
-                    flags[to : to + k] = got[at : at + k]
-                    at += k
-                a, size = j + 1, 0
-        return flags
+        stream = pa.array(rows["at"].to_numpy() + 1, pa.int32())  # 0 is the codes' own
+        return pa.table([rows["block"], stream, rows["entry"], pa.array(replies, pa.binary())], schema=_ANSWER_ARROW)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(table, width, gram)
         codes = codes_by_entry(replies)
         cover = np.zeros(len(block.data) + 1, np.int64)
         if len(codes):
-            whole = (codes[block.entry_of] & 1) == 1
+            whole = (codes[block.entry_of] & WHOLE) > 0
             np.add.at(cover, block.first[whole], 1)
             np.add.at(cover, block.first[whole] + block.windows[whole] + width - 1, -1)
         for stream, entry, bits in zip(replies["stream"].to_pylist(), replies["part"].to_pylist(), replies["reply"].to_pylist(), strict=True):
             if stream:
                 k = block.sample[entry]
-                hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: block.windows[k]]) + block.first[k]
+                hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))) + block.first[k] + stream - 1
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + width, -1)
         gone = np.cumsum(cover)[:-1] > 0
@@ -276,7 +266,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
         column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
         return pa.table([table["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(np.diff(begun[block.offsets])), column], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    codes = answer(ask(blocks, keys_of, max(1, n // 8)), _codes)  # a segment is some 170 windows
+    codes = answer(ask(blocks, keys_of, max(1, n // 8)), _codes(hot_contexts))  # a segment is some 170 windows
     shipped = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, SEGMENT)
     sorted_ = shipped.groupBy("shard").applyInArrow(sort, ANSWER)
     replies = codes.unionByName(sorted_)

@@ -165,8 +165,8 @@ def test_suffix_dedup(odd, empty):
                 gone[k : k + width] = b"\1" * width
         spans = sum(1 for j, x in enumerate(gone) if x and (not j or not gone[j - 1]))
         want[i, len(b), sum(gone), spans, bytes(x for x, y in zip(b, gone, strict=True) if not y)] += 1
-    for block, batch in ((20_000, 4 << 20), (60_000, 2_000)):
-        got = suffix_dedup(odd, block_bytes=block, batch_bytes=batch).collect()
+    for block, batch, hot in ((20_000, 4 << 20, 4096), (60_000, 2_000, 4096), (30_000, 5_000, 2)):
+        got = suffix_dedup(odd, block_bytes=block, batch_bytes=batch, hot_contexts=hot).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
     assert suffix_dedup(empty).count() == 0
 
