@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadrille.llm.exchange import answer, ask, block_count, by_hash, groups, resolve, runs
+from quadrille.llm.exchange import answer, ask, block_count, by_hash, groups, resolve, runs, unpack
 from quadrille.llm.textops import U64, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
 
 SCHEMA = "doc_id long, n_words long, log_score double"
@@ -46,8 +46,6 @@ def _grams(table: pa.Table, order: int):
 
 
 def _sum(keys, owner, table):
-    from quadrille.llm.exchange import unpack
-
     counts = np.concatenate([unpack(v, U64) for v in table["vals"].to_pylist()])
     by = np.argsort(keys, kind="stable")
     run = runs(keys[by])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.textops import text_bytes, sha256_hex
+from quadrille.llm.textops import sha256_hex, text_bytes
 
 LONG, SHORT = 400, 1000
 _SECTION = re.compile(r"(?:\n[ \t\r]*){2,}")

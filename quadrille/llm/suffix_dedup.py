@@ -15,7 +15,7 @@ anchor form a *segment* of text; equal windows always lie in segments of equal a
 3. Blocks meet the answers and mark the bytes that repeated windows cover.
 
 The anchor only routes; equality of windows that are not whole equal segments is decided by the
-suffix arrays, byte for byte, and that of whole segments by 63-bit digests within an
+suffix arrays, byte for byte, and that of whole segments by 62-bit digests within an
 anchor.
 
 Scale: text crosses the network once to form blocks, and each distinct segment that needs
@@ -36,7 +36,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quadrille.llm.exchange import ANSWER, _ANSWER_ARROW, answer, ask, block_count, by_hash, unpack
 from quadrille.llm.suffix import common_prefixes, suffix_array
