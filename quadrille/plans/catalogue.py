@@ -51,7 +51,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "bgp_pred_var": _q("SELECT ?s ?p ?o WHERE { ?s a :Nation ; ?p ?o }", _NATION_TERMS.replace("SELECT '<http://ex/nation/' || n_nationkey || '>'", f"SELECT {_N} n_nationkey")),
     "bgp_type_var": _q("SELECT ?t (COUNT(*) AS ?n) WHERE { ?s a ?t ; :name ?x } GROUP BY ?t", "SELECT t, count(*) AS n FROM (SELECT 'http://ex/Region' AS t FROM region UNION ALL SELECT 'http://ex/Nation' FROM nation UNION ALL SELECT 'http://ex/Customer' FROM customer UNION ALL SELECT 'http://ex/Supplier' FROM supplier UNION ALL SELECT 'http://ex/Part' FROM part) GROUP BY t"),
     "bgp_many_tables": _q("SELECT ?x ?n WHERE { ?x :acctbal ?b ; :name ?n FILTER(?b > 5000) }", f"SELECT '<' || {_C} c_custkey || '>' AS x, c_name AS n FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT '<' || {_S} s_suppkey || '>', s_name FROM supplier WHERE s_acctbal > 5000"),
-    "bgp_split_subject": _q("SELECT ?d ?l ?q WHERE { ?d :lang ?l ; :quality ?q }", "SELECT 'http://ex/documents/' || d.doc_id AS d, lang AS l, CAST(quality AS BIGINT) AS q FROM documents d JOIN labels USING (doc_id)"),
+    "bgp_split_subject": _q("SELECT ?d ?l ?q WHERE { ?d :lang ?l ; :quality ?q }", "SELECT 'http://ex/documents/' || d.doc_id AS d, lang AS l, quality AS q FROM documents d JOIN labels USING (doc_id)"),
     "bgp_cross_product": _q("SELECT ?a ?b WHERE { ?a a :Region . ?b a :Nation }", f"SELECT {_R} r_regionkey AS a, {_N} n_nationkey AS b FROM region, nation"),
     "bgp_shared_object": _q("SELECT ?a ?b WHERE { ?a a :Supplier ; :nation ?n . ?b a :Supplier ; :nation ?n FILTER(?a != ?b) }", f"SELECT {_S} a.s_suppkey AS a, {_S} b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey"),
     "bgp_cycle": _q(
@@ -120,7 +120,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "optional": _q("SELECT ?o ?q WHERE { ?o a :Order OPTIONAL { ?l :order ?o ; :quantity ?q } }", f"SELECT {_O} o_orderkey AS o, l_quantity AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"),
     "optional_filter": _q("SELECT ?o ?q WHERE { ?o a :Order ; :totalPrice ?t OPTIONAL { ?l :order ?o ; :quantity ?q FILTER(?q * 5000 > ?t) } }", f"SELECT {_O} o_orderkey AS o, l_quantity AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity * 5000 > o_totalprice"),
     "optional_nested": _q("SELECT ?n ?c ?o WHERE { ?n a :Nation OPTIONAL { ?c a :Customer ; :nation ?n OPTIONAL { ?o :customer ?c ; :status \"P\" } } }", f"SELECT {_N} n_nationkey AS n, {_C} c_custkey AS c, {_O} o_orderkey AS o FROM nation LEFT JOIN (customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P') ON c_nationkey = n_nationkey"),
-    "optional_rejoined": _q("SELECT ?d ?q WHERE { ?d :lang \"es\" OPTIONAL { ?d :quality ?q } { SELECT DISTINCT ?q WHERE { ?x :quality ?q ; :toxic 1 } } }", "SELECT 'http://ex/documents/' || d.doc_id AS d, CAST(z.q AS BIGINT) AS q FROM documents d LEFT JOIN labels l USING (doc_id) JOIN (SELECT DISTINCT quality AS q FROM labels WHERE toxic = 1) z ON l.quality = z.q OR l.quality IS NULL WHERE lang = 'es'"),
+    "optional_rejoined": _q("SELECT ?d ?q WHERE { ?d :lang \"es\" OPTIONAL { ?d :quality ?q } { SELECT DISTINCT ?q WHERE { ?x :quality ?q ; :toxic 1 } } }", "SELECT 'http://ex/documents/' || d.doc_id AS d, z.q AS q FROM documents d LEFT JOIN labels l USING (doc_id) JOIN (SELECT DISTINCT quality AS q FROM labels WHERE toxic = 1) z ON l.quality = z.q OR l.quality IS NULL WHERE lang = 'es'"),
     "union": _q("SELECT ?x WHERE { { ?x a :Nation } UNION { ?x a :Region } UNION { ?x a :Nation } }", "SELECT '<http://ex/nation/' || n_nationkey || '>' AS x FROM nation UNION ALL SELECT '<http://ex/region/' || r_regionkey || '>' FROM region UNION ALL SELECT '<http://ex/nation/' || n_nationkey || '>' FROM nation"),
     "union_disjoint": _q("SELECT ?a ?b WHERE { { ?x a :Nation ; :name ?a } UNION { ?y a :Region ; :name ?b } }", "SELECT n_name AS a, NULL AS b FROM nation UNION ALL SELECT NULL, r_name FROM region"),
     "minus": _q("SELECT ?o WHERE { ?o a :Order MINUS { ?l :order ?o } }", f"SELECT {_O} o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
@@ -164,7 +164,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "order_desc": _q("SELECT ?o ?t WHERE { ?o :totalPrice ?t } ORDER BY DESC(?t) ?o LIMIT 20", f"SELECT {_O} o_orderkey AS o, o_totalprice AS t FROM orders ORDER BY t DESC, o LIMIT 20"),
     "order_multi": _q("SELECT ?y ?s ?o WHERE { ?o :priority ?y ; :status ?s } ORDER BY DESC(?y) ?s DESC(?o) LIMIT 25", f"SELECT o_orderpriority AS y, o_orderstatus AS s, {_O} o_orderkey AS o FROM orders ORDER BY y DESC, s, o DESC LIMIT 25"),
     "order_expr": _q("SELECT ?p WHERE { ?p :size ?z ; :retailPrice ?r } ORDER BY DESC(?r - 10 * ?z) ?p LIMIT 10", f"SELECT {_P} p_partkey AS p FROM part ORDER BY p_retailprice - 10 * p_size DESC, p LIMIT 10"),
-    "order_unbound_first": _q("SELECT ?d ?q WHERE { ?d :lang ?l OPTIONAL { ?d :quality ?q } } ORDER BY ?q ?d LIMIT 15", "SELECT 'http://ex/documents/' || d.doc_id AS d, CAST(quality AS BIGINT) AS q FROM documents d LEFT JOIN labels USING (doc_id) ORDER BY q NULLS FIRST, d LIMIT 15"),
+    "order_unbound_first": _q("SELECT ?d ?q WHERE { ?d :lang ?l OPTIONAL { ?d :quality ?q } } ORDER BY ?q ?d LIMIT 15", "SELECT 'http://ex/documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels USING (doc_id) ORDER BY q NULLS FIRST, d LIMIT 15"),
     "offset": _q("SELECT ?o ?t WHERE { ?o :totalPrice ?t } ORDER BY ?t ?o LIMIT 10 OFFSET 30", f"SELECT {_O} o_orderkey AS o, o_totalprice AS t FROM orders ORDER BY t, o LIMIT 10 OFFSET 30"),
     "distinct_order_limit": _q("SELECT DISTINCT ?y WHERE { ?o :priority ?y } ORDER BY DESC(?y) LIMIT 3", "SELECT DISTINCT o_orderpriority AS y FROM orders ORDER BY y DESC LIMIT 3"),
     "limit_no_order": _q("SELECT (COUNT(*) AS ?n) WHERE { { SELECT ?o WHERE { ?o a :Order } LIMIT 17 } }", "SELECT CAST(17 AS BIGINT) AS n"),
