@@ -167,8 +167,8 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, rec
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
     signed = hashed.mapInArrow(_signer(shingle, bands, rows), "doc_id long, sha binary, n_grams long, bands array<long>")
     texts = signed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    turn = F.row_number().over(Window.partitionBy("rep").orderBy("sha"))
     stand_in = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("sha"), 1))
+    turn = F.row_number().over(Window.partitionBy(F.coalesce("rep", stand_in)).orderBy("sha"))  # null ids don't meet
     nodes = cut(texts.withColumn("node", F.when(F.col("rep").isNull() | (turn > 1), stand_in).otherwise(F.col("rep"))))
 
     exploded = nodes.select("node", F.explode("bands").alias("band"))
