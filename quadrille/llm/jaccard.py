@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.components import components
 from quadrille.llm.lineage import cut
-from quadrille.llm.textops import U64, byte_chunks, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
+from quadrille.llm.textops import U64, byte_chunks, give_back, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
 
 #: Nodes of a chunk and n-grams of a chunk, at most (but for one longer document).
 CHUNK_NODES, CHUNK_GRAMS = 256, 1 << 21
@@ -78,6 +78,7 @@ def _signer(shingle: int, bands: int, rows: int):
                 offs[1:] = np.cumsum(np.where(count > 0, bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.ascontiguousarray(value.T).reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count), lists], names=["doc_id", "sha", "n_grams", "bands"])
+        give_back()
 
     return sign
 
@@ -130,7 +131,7 @@ def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _verifier(shingle: int, threshold: float):
-    def verify(table: pa.Table) -> pa.Table:
+    def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
         cluster, node, copies, side = (table[c].to_numpy() for c in ("cluster", "node", "copies", "side"))
         keep = np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (node[1:] != node[:-1])])
@@ -155,6 +156,11 @@ def _verifier(shingle: int, threshold: float):
                 links_out.append(0)
         return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(links_out, pa.int64())], names=["a", "b", "links"])
 
+    def verify(table: pa.Table) -> pa.Table:
+        found = judge(table)
+        give_back()
+        return found
+
     return verify
 
 
