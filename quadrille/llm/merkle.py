@@ -1,14 +1,17 @@
 """Document fingerprints: Merkle trees over sections and paragraphs (operator 9).
 
 A text is cut without loss: blank lines close sections, line ends close paragraphs,
-sentence ends close the leaves of a paragraph. A leaf over ``LONG`` characters is cut on
-after words that a hash of the word picks, so that an edit moves only the cuts near it; in
-a text of under ``SHORT`` characters every word is a leaf.
+sentence ends close the leaves of a paragraph. A leaf over ``MOST`` characters is cut on,
+where a hash of the last ``WINDOW`` characters is picked, at
+``LEAST`` characters or more, and where none is by ``MOST``, at the least hash up to there.
+So leaves are bounded and an edit moves only the cuts near it; in a text of under
+``SHORT`` characters every word is a leaf.
 A node's digest covers its children's digests in order, the root's also the length; the
 root is the fingerprint, so equal roots mean equal texts. Two trees are compared from the
 root down: equal branches count whole, only differing ones are opened, and the shared
-characters give the likeness, 2 * shared / (length + length); ``differing`` names the
-leaves that hold an edit.
+characters give the likeness, 2 * shared / (length + length), or the characters that both
+texts begin and end with, where these are more; ``differing`` names the leaves that hold
+an edit.
 
 ``fingerprint_with_next`` compares each document with an edited copy and with its
 neighbour in descending doc_id. Documents are dealt to ranges of doc_id with one copy of
@@ -22,9 +25,9 @@ single document is its own neighbour.
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,31 +37,48 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.textops import sha256_hex, text_bytes
 
-LONG, SHORT = 400, 1000
+MOST, LEAST, PICK, WINDOW = 64, 8, 16, 8
+SHORT = 1000
 _SECTION = re.compile(r"(?:\n[ \t\r]*){2,}")
 _LEAF = re.compile(r"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"\S*\s*")
-_LEAST = -(1 << 63)
+_FACTOR = 0x9E3779B97F4A7C15
+_NO_ID = -(1 << 63)
+
+
+def _rolling(text: str) -> np.ndarray:
+    """Per position, a hash of the ``WINDOW`` (a power of two) characters before it, fewer
+    at the start; of ``WINDOW`` or more characters."""
+    total = np.zeros(len(text) + 1, np.uint64)
+    total[1:] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    total[1:] += np.uint64(1)
+    back = 1
+    while back < WINDOW:
+        total[back:] += total[:-back] * np.uint64(pow(_FACTOR, back, 1 << 64))
+        back *= 2
+    return (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
 def _leaves(paragraph: str, fine: bool) -> list[str]:
     if fine:
         return [x for x in _WORD.findall(paragraph) if x]
-    out = []
+    out, hashes, at = [], None, 0
     for leaf in _LEAF.findall(paragraph):
-        if len(leaf) <= LONG:
-            if leaf:
-                out.append(leaf)
-            continue
-        start = at = 0
-        for word in _WORD.findall(leaf):
-            at += len(word)
-            if at > start and crc32(word.encode()) % 16 == 0:
-                out.append(leaf[start:at])
-                start = at
-        if start < len(leaf):
-            out.append(leaf[start:])
+        start, at = at, at + len(leaf)
+        if at - start > MOST and hashes is None:
+            hashes = _rolling(paragraph)
+            picks, k = np.flatnonzero(hashes % np.uint64(PICK) == 0).tolist(), 0
+        while at - start > MOST:  # LEAST >= WINDOW: only the leaf's own characters count
+            k = bisect_left(picks, start + LEAST, k)
+            if k < len(picks) and picks[k] <= start + MOST:
+                end = picks[k]
+            else:
+                end = start + LEAST + int(hashes[start + LEAST : start + MOST + 1].argmin())
+            out.append(paragraph[start:end])
+            start = end
+        if start < at:
+            out.append(paragraph[start:at])
     return out
 
 
@@ -67,13 +87,13 @@ def _digest(kind: bytes, children: list[bytes]) -> bytes:
 
 
 class Tree:
-    """sections: (digest, characters, paragraphs); paragraphs: (digest, characters,
+    """text; sections: (digest, characters, paragraphs); paragraphs: (digest, characters,
     leaves); leaves: (digest, characters)."""
 
-    __slots__ = ("root", "size", "sections")
+    __slots__ = ("root", "size", "sections", "text")
 
     def __init__(self, text: str):
-        self.size, self.sections = len(text), []
+        self.size, self.sections, self.text = len(text), [], text
         start, cuts = 0, [m.end() for m in _SECTION.finditer(text)]
         for end in [*cuts, len(text)]:
             if end > start:
@@ -109,6 +129,21 @@ def _match(a: list, b: list) -> tuple[int, list, list]:
     return shared, rest, other
 
 
+def _ends(a: str, b: str) -> int:
+    """Characters that two different texts begin and end with in common."""
+
+    def same(a: str, b: str, most: int, part) -> int:
+        low = 0
+        while low < most:
+            half = (low + most + 1) // 2
+            low, most = (half, most) if part(a, half) == part(b, half) else (low, half - 1)
+        return low
+
+    most = min(len(a), len(b))
+    head = same(a, b, most, lambda t, n: t[:n])
+    return head + same(a, b, most - head, lambda t, n: t[len(t) - n :])
+
+
 def likeness(a: Tree, b: Tree) -> float:
     if a.root == b.root:
         return 1.0
@@ -119,7 +154,7 @@ def likeness(a: Tree, b: Tree) -> float:
         left, right = [c for x in left for c in x[2]], [c for x in right for c in x[2]]
         shared, left, right = _match(left, right)
         total += shared
-    return 2.0 * total / (a.size + b.size)
+    return 2.0 * max(total, _ends(a.text, b.text)) / (a.size + b.size)
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -189,7 +224,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_with_next(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``, as PAIR_SCHEMA."""
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     src = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(2, -(-text_bytes(docs) // range_bytes))
     marks = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)

@@ -309,6 +309,15 @@ def test_trees():
     assert "Two here" in a[s:e] and not more
 
 
+@pytest.mark.parametrize("text", ["abc " * 1500, "x" * 6000, "".join(map(str, range(1500))), "?" * 6000], ids=["one word", "one letter", "no blank", "marks"])
+def test_trees_of_text_without_sentences(text):
+    want = 2 * (len(text) - len(text) // 3) / (2 * len(text))
+    assert abs(likeness(Tree(text), Tree(edited(text, "Other text 12. " * 500))) - want) < 0.03
+    middle = text[:2000] + "##" + text[2000:4000] + "%" + text[4000:]
+    assert likeness(Tree(text), Tree(middle)) > 0.9  # more than the ends alone
+    assert max(n for s in Tree(text).sections for p in s[2] for _, n in p[2]) <= 64
+
+
 def test_mixing(spark, odd, empty):
     rows = mix_sources(odd, weights={"s0": 3, "s1": 2}, block_rows=4).collect()
     assert len(rows) == odd.count() and len({r.mix_position for r in rows}) == len(rows)
