@@ -2,10 +2,9 @@
 
 A text is cut without loss: blank lines close sections, line ends close paragraphs,
 sentence ends close the leaves of a paragraph. A leaf over ``MOST`` characters is cut on,
-where a hash of the last ``WINDOW`` characters is picked, at
+whatever the text's length: where a hash of the last ``WINDOW`` characters is picked, at
 ``LEAST`` characters or more, and where none is by ``MOST``, at the least hash up to there.
-So leaves are bounded and an edit moves only the cuts near it; in a text of under
-``SHORT`` characters every word is a leaf.
+So leaves are bounded and an edit moves only the cuts near it, in any text.
 A node's digest covers its children's digests in order, the root's also the length; the
 root is the fingerprint, so equal roots mean equal texts. Two trees are compared from the
 root down: equal branches count whole, only differing ones are opened, and the shared
@@ -38,11 +37,9 @@ from pyspark.sql import functions as F
 from quadrille.llm.textops import sha256_hex, text_bytes
 
 MOST, LEAST, PICK, WINDOW = 64, 8, 16, 8
-SHORT = 1000
 _SECTION = re.compile(r"(?:\n[ \t\r]*){2,}")
 _LEAF = re.compile(r"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
-_WORD = re.compile(r"\S*\s*")
 _FACTOR = 0x9E3779B97F4A7C15
 _NO_ID = -(1 << 63)
 
@@ -60,9 +57,7 @@ def _rolling(text: str) -> np.ndarray:
     return (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
-def _leaves(paragraph: str, fine: bool) -> list[str]:
-    if fine:
-        return [x for x in _WORD.findall(paragraph) if x]
+def _leaves(paragraph: str) -> list[str]:
     out, hashes, at = [], None, 0
     for leaf in _LEAF.findall(paragraph):
         start, at = at, at + len(leaf)
@@ -97,15 +92,15 @@ class Tree:
         start, cuts = 0, [m.end() for m in _SECTION.finditer(text)]
         for end in [*cuts, len(text)]:
             if end > start:
-                self.sections.append(self._section(text[start:end], len(text) < SHORT))
+                self.sections.append(self._section(text[start:end]))
             start = end
         self.root = hashlib.sha256(b"R%d:" % self.size + b"".join(s[0] for s in self.sections)).hexdigest()
 
     @staticmethod
-    def _section(text: str, fine: bool):
+    def _section(text: str):
         paragraphs = []
         for line in _LINE.findall(text):
-            leaves = [(hashlib.blake2b(x.encode(), digest_size=16).digest(), len(x)) for x in _leaves(line, fine)]
+            leaves = [(hashlib.blake2b(x.encode(), digest_size=16).digest(), len(x)) for x in _leaves(line)]
             paragraphs.append((_digest(b"P", [d for d, _ in leaves]), len(line), leaves))
         return _digest(b"S", [p[0] for p in paragraphs]), len(text), paragraphs
 

@@ -318,6 +318,17 @@ def test_trees_of_text_without_sentences(text):
     assert max(n for s in Tree(text).sections for p in s[2] for _, n in p[2]) <= 64
 
 
+def test_trees_either_side_of_any_length():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(157))[:1099]
+    middle = text[:300] + text[600:]  # 799 characters
+    parts = text[:250] + "#" + text[300:600] + "#" + text[650:]
+    assert abs(likeness(Tree(text), Tree(edited(text, "short"))) - 2 * 733 / (1099 + 738)) < 0.03
+    assert likeness(Tree(text), Tree(middle)) > 0.8
+    kept = 250 + 300 + 319  # each of three edits may cost two leaves
+    assert likeness(Tree(text), Tree(parts[:-130])) > 2 * (kept - 3 * 2 * 64) / (1099 + 871)
+
+
 def test_mixing(spark, odd, empty):
     rows = mix_sources(odd, weights={"s0": 3, "s1": 2}, block_rows=4).collect()
     assert len(rows) == odd.count() and len({r.mix_position for r in rows}) == len(rows)
