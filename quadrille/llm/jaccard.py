@@ -83,9 +83,8 @@ def _signer(shingle: int, bands: int, rows: int):
     return sign
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold; pairs of one side count only where all
-    sets are of one side."""
+def _links(sets: list[np.ndarray], side: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Which pairs of sets reach the threshold; of two sides where ``across``."""
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
     owner = np.repeat(np.arange(m), sizes)
@@ -109,7 +108,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nda
     linked = both >= threshold * union - 1e-9
     linked[sizes == 0] = linked[:, sizes == 0] = False
     np.fill_diagonal(linked, False)
-    if side.min() != side.max():
+    if across:
         linked &= side[:, None] != side[None, :]
     return linked
 
@@ -134,6 +133,7 @@ def _verifier(shingle: int, threshold: float):
     def judge(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
         cluster, node, copies, side = (table[c].to_numpy() for c in ("cluster", "node", "copies", "side"))
+        across = table["across"].to_pylist()
         keep = np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (node[1:] != node[:-1])])
         text = table["text"].combine_chunks()
         a_out, b_out, links_out = [], [], []
@@ -144,7 +144,7 @@ def _verifier(shingle: int, threshold: float):
                 continue
             grams, count = _shingles(text.take(pa.array(rows)), shingle)
             sets = [np.unique(x) for x in np.split(grams, np.cumsum(count)[:-1])]
-            linked = _links(sets, side[rows], threshold)
+            linked = _links(sets, side[rows], across[lo], threshold)
             total = linked @ copies[rows].astype(np.float64)
             for i in np.flatnonzero(total).tolist():
                 a_out.append(int(node[rows[i]]))
@@ -190,12 +190,12 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, rec
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     # a cluster of one chunk shares a task with others; of more, each pair of chunks has its own
     spread = dealt.withColumn("other", other).select(
-        "node", "rep", "sha", "copies", "cluster", "side",
+        "node", "rep", "sha", "copies", "cluster", "side", (F.col("side") != F.col("other")).alias("across"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other"))).alias("task"),
     )
     wanted = members.select("sha", "rep")
     whole = hashed.join(wanted, (hashed.sha == wanted.sha) & hashed.doc_id.eqNullSafe(wanted.rep), "left_semi").select("sha", "text")
-    units = spread.join(whole, "sha").select("task", "node", "copies", "cluster", "side", "text")
+    units = spread.join(whole, "sha").select("task", "node", "copies", "cluster", "side", "across", "text")
     found = cut(units.groupBy("task").applyInArrow(_verifier(shingle, threshold), "a long, b long, links long"))
 
     classes = components(found.where("b is not null").select("a", "b"))

@@ -259,6 +259,20 @@ def test_jaccard_clusters_of_many_chunks(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
 
 
+def test_ngram_jaccard_chunks_of_one_side(spark, monkeypatch):
+    import quadrille.llm.jaccard as jaccard
+
+    rows = []
+    for c in range(12):
+        rng = random.Random(c)
+        text = " ".join(str(rng.randrange(10**6)) for _ in range(400))
+        rows += [(10 * c + k, f"{text} {k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CHUNK_GRAMS", 400)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard(docs).collect()}
+    assert got == {i: (i // 10 * 10, 2) for i, _ in rows}
+
+
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify_language(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
