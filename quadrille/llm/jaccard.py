@@ -164,10 +164,8 @@ def _verifier(shingle: int, threshold: float):
     return verify
 
 
-def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9995) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the class's least doc_id), n_links
-    (other documents whose n-gram sets reach ``threshold``, or whose texts are equal) and
-    n_copies (documents of this very text)."""
+def _judge(docs: DataFrame, threshold: float, shingle: int, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with digests; texts as nodes; what the tasks found; node and root of each class."""
     bands, rows = bands_for(threshold, recall)
     text = F.coalesce("text", F.lit(""))
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"))
@@ -198,8 +196,28 @@ def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, rec
     units = spread.join(whole, "sha").select("task", "node", "copies", "cluster", "side", "across", "text")
     found = cut(units.groupBy("task").applyInArrow(_verifier(shingle, threshold), "a long, b long, links long"))
 
-    classes = components(found.where("b is not null").select("a", "b"))
+    return hashed, nodes, found, components(found.where("b is not null").select("a", "b"))
+
+
+def ngram_jaccard(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9995) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the class's least doc_id), n_links
+    (other documents whose n-gram sets reach ``threshold``, or whose texts are equal) and
+    n_copies (documents of this very text)."""
+    hashed, nodes, found, classes = _judge(docs, threshold, shingle, recall)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     judged = nodes.select("sha", "node", "copies").join(classes, "node", "left").join(links, "node", "left")
     judged = judged.select("sha", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     return hashed.select("doc_id", "sha").join(judged, "sha").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_apart(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9995) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class the text of the least node
+    stays (see class_id above), and of its rows those with its least doc_id. Rows go by
+    their texts, so null, negative and repeated doc_ids are like any other."""
+    _, nodes, _, classes = _judge(docs, threshold, shingle, recall)
+    texts = nodes.select("node", "sha", "rep", "copies").join(classes, "node", "left")
+    marks = texts.select(F.col("sha").alias("__sha"), F.col("rep").alias("__rep"), "copies", (F.coalesce("root", "node") != F.col("node")).alias("__gone"))
+    marks = marks.where("__gone or copies > 1").select("__sha", "__rep", "__gone")
+    other = ~F.col("__id").eqNullSafe(F.col("__rep"))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("__digest"))
+    return rows.join(marks, (F.col("__digest") == F.col("__sha")) & (F.col("__gone") | other), "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.exact_dedup import keep_one
-from quadrille.llm.jaccard import ngram_jaccard
+from quadrille.llm.jaccard import keep_apart
 from quadrille.llm.language_id import keep_identified
 from quadrille.llm.mixing import in_mixed_order, mix_sources
 from quadrille.llm.pieces import decode_pieces, encode_pieces
@@ -21,9 +21,9 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least doc_id."""
-    gone = ngram_jaccard(docs).where("doc_id <> class_id and class_id >= 0").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each class of near copies stays: the one with the least doc_id, or
+    a text without a doc_id of its own where the class has one."""
+    return keep_apart(docs)
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """The pipeline's stages on a small table, each with what it must keep."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quadrille.llm import stages
 from quadrille.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +32,21 @@ def test_run_has_all_that_the_stages_keep(spark):
     assert corpus_pipeline.run(spark, SF).where(F.size("token_ids") > 0).count() > 150
 
 
+def test_near_copies_with_odd_ids(spark):
+    def text(seed, end=""):
+        rng = random.Random(seed)
+        return " ".join(str(rng.randrange(10**6)) for _ in range(300)) + end
+
+    rows = [(1, text(1)), (2, text(1, " a")), (None, text(1, " b"))]  # a null id in the class
+    rows += [(5, text(2)), (6, text(2, " a")), (6, text(3))]  # an id given to a clean text too
+    rows += [(-9, text(4)), (-8, text(4, " a")), (7, text(4, " b"))]
+    rows += [(None, text(5)), (None, text(5, " a")), (None, text(6)), (8, None)]
+    got = stages.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    seeds = [(r.text or "").split(" ")[0] for r in got]
+    assert sorted(seeds) == sorted([*(text(k).split(" ")[0] for k in range(1, 7)), ""])
+    assert set(map(tuple, got)) <= set(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (5, 5)] + [(i, i + 1) for i in range(100, 140)] + [(1000, i) for i in range(1001, 1050)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
