@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.lineage import cut
 
-#: Hops of a simple cycle, where no bound is given.
-CYCLE_HOPS = 6
-
 
 def both_ways(edges: DataFrame, directed: bool) -> DataFrame:
     edges = edges.select("s", "p", "o")
@@ -54,36 +51,50 @@ def cycles(pairs: DataFrame, edges: DataFrame, directed: bool) -> DataFrame:
     return there.join(back, ["src", "dst"]).select("src", "dst", F.concat("path", F.slice("back", F.lit(2), F.size("back"))).alias("path"))
 
 
-def walks(pairs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """src, dst, path of every path of 1 to k hops that repeats no node."""
+def _further(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, node, path of the paths of ``front`` and one hop more that repeat no node."""
+    on = (front.node == edges.s) & ~F.array_contains(F.filter("path", lambda x, i: i % 2 == 0), F.col("o"))
+    return cut(front.join(edges, on).select("src", F.col("o").alias("node"), F.concat("path", F.array("p", "o")).alias("path")))
+
+
+def walks(pairs: DataFrame, edges: DataFrame, k: int | None) -> DataFrame:
+    """src, dst, path of every path of 1 to k hops (of any number without k) that repeats
+    no node."""
     sources = pairs.select("src").distinct()
     front = sources.select("src", F.col("src").alias("node"), F.array("src").alias("path"))
-    out = None
-    for _ in range(k):
-        on = (front.node == edges.s) & ~F.array_contains(F.filter("path", lambda x, i: i % 2 == 0), F.col("o"))
-        front = cut(front.join(edges, on).select("src", F.col("o").alias("node"), F.concat("path", F.array("p", "o")).alias("path")))
-        out = front if out is None else out.union(front)
+    out, hop = front.where(F.lit(False)), 0
+    while k is None or hop < k:
+        hop += 1
+        front = _further(front, edges)
+        if front.isEmpty():
+            break
+        out = out.union(front)
     return pairs.distinct().join(out.withColumnRenamed("node", "dst"), ["src", "dst"])
 
 
 def simple_cycles(pairs: DataFrame, edges: DataFrame, k: int | None) -> DataFrame:
     """src, dst, path: the shortest cycle from src through dst that repeats no node (least
-    of equal ones), of at most k hops."""
-    k = k or CYCLE_HOPS
-    sources = pairs.where("src <> dst").select("src").distinct()
-    front = sources.select("src", F.col("src").alias("node"), F.array("src").alias("path"))
-    closed = None
-    for hop in range(1, k + 1):
+    of equal ones), of at most k hops (of any number without k). Sources whose pairs all
+    have their cycle are followed no further."""
+    left = cut(pairs.where("src <> dst").distinct())
+    front = left.select("src").distinct().select("src", F.col("src").alias("node"), F.array("src").alias("path"))
+    out, hop = left.select("src", "dst", F.array("src").alias("path")).where(F.lit(False)), 0
+    while k is None or hop < k:
+        hop += 1
         ends = front.join(edges, (front.node == edges.s) & (F.col("o") == F.col("src"))).select("src", F.concat("path", F.array("p", "o")).alias("path"))
-        if hop > 2:  # there and back over one edge is no simple cycle
-            closed = ends if closed is None else closed.union(ends)
-        elif hop == 2:
+        if hop == 2:  # there and back over one edge is no simple cycle
             ends = ends.where(F.col("path")[1] != F.col("path")[3])
-            closed = ends
-        inner = (front.node == edges.s) & ~F.array_contains(F.filter("path", lambda x, i: i % 2 == 0), F.col("o"))
-        front = cut(front.join(edges, inner).select("src", F.col("o").alias("node"), F.concat("path", F.array("p", "o")).alias("path")))
-    found = pairs.where("src <> dst").distinct().join(closed, "src").where(F.array_contains(F.filter("path", lambda x, i: i % 2 == 0), F.col("dst")))
-    return found.groupBy("src", "dst").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("src", "dst", F.col("m.path").alias("path"))
+        if hop > 1:
+            through = left.join(ends, "src").where(F.array_contains(F.filter("path", lambda x, i: i % 2 == 0), F.col("dst")))
+            found = cut(through.groupBy("src", "dst").agg(F.min("path").alias("path")))
+            if not found.isEmpty():
+                out = out.union(found)
+                left = cut(left.join(found, ["src", "dst"], "left_anti"))
+                front = front.join(left.select("src").distinct(), "src", "left_semi")
+        front = _further(front, edges)
+        if front.isEmpty():
+            break
+    return out
 
 
 def path_call(name: str, pairs: DataFrame, edges: DataFrame, directed: bool, k: int | None) -> tuple[DataFrame, str]:
@@ -94,9 +105,9 @@ def path_call(name: str, pairs: DataFrame, edges: DataFrame, directed: bool, k:
     if name in ("cyclepath", "cycleboolean"):
         got = cycles(pairs, edges, directed)
     elif name in ("simplecyclepath", "simplecycleboolean"):
-        got = simple_cycles(pairs, edges, k)
+        got = simple_cycles(pairs, edges, k if k is not None and k >= 0 else None)
     elif name == "khopenumerate":
-        got = walks(pairs, edges, k if k is not None and k >= 0 else CYCLE_HOPS)
+        got = walks(pairs, edges, k if k is not None and k >= 0 else None)
     elif name == "khopreachable":
         got = shortest(pairs, edges, k if k is not None and k >= 0 else None)
     else:

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from quadrille.operators.paths import path_call
 from quadrille.plans import registry
 from quadrille.plans.catalogue import METHOD, PREFIXES, QUERIES
 from quadrille.plans.compiler import run
@@ -61,3 +62,15 @@ def test_filter_and_columns_reach_the_scan(spark):
     g = driver_graph(spark, SF)
     plan = run(g, QUERIES["bgp_const_object"][0], PREFIXES)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def test_cycles_and_walks_without_a_bound(spark):
+    ring = [(f"n{i}", "p", f"n{(i + 1) % 9}") for i in range(9)]
+    edges = spark.createDataFrame([*ring, ("n3", "q", "n2"), ("x", "p", "n0")], "s string, p string, o string")
+    pairs = spark.createDataFrame([("n0", "n5"), ("n2", "n3"), ("x", "n0")], "src string, dst string")
+    whole = " p ".join(f"n{i % 9}" for i in range(10))
+    got = {(r.src, r.dst): r.value for r in path_call("simplecyclepath", pairs, edges, True, None)[0].collect()}
+    assert got == {("n0", "n5"): whole, ("n2", "n3"): "n2 p n3 q n2"}
+    assert {r.src for r in path_call("simplecycleboolean", pairs, edges, True, 8)[0].collect()} == {"n2"}
+    far = spark.createDataFrame([("n0", "n8")], "src string, dst string")
+    assert [r.value for r in path_call("khopenumerate", far, edges, True, -1)[0].collect()] == [whole[: whole.rindex(" p ")]]
