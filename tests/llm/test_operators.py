@@ -314,6 +314,15 @@ def test_fingerprints(odd, empty):
     assert fingerprint_with_next(odd.limit(1)).count() == 1
 
 
+def test_whole_licenses_are_known(spark):
+    whole = dict(LICENSES)
+    rows = [(name, "Copyright 2020 Someone\n" + whole[name].upper()) for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0")]
+    assert all(len(body) > 1000 for _, body in rows)
+    rows.append(("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."))
+    got = license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license_id == r.doc_id for r in got)
+
+
 def test_trees():
     a = "One. Two here.\nThree!\n\nSecond section. " + "long words without an end " * 100
     b = a.replace("Two here", "Two there")
