@@ -12,20 +12,30 @@ anchor), what the rest of the corpus holds of that key, does three things:
 That is a shuffle join on the key's hash with map-side combining; rows are columns
 of a block instead of single keys, which takes six bytes a key rather than forty.
 A key in every document costs a range one entry a block, never one a document.
+
+Documents travel to their blocks packed: a task sends one compressed row for each block
+and PACK_BYTES of its text. A document's block follows from the document alone, so a task
+that is run again sends the same documents to the same blocks.
 """
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.textops import U64, text_bytes
+from quadrille.llm.textops import U64, text_bytes, utf8_column
 
-ROW_BYTES, LEAST_BLOCK = 8 << 10, 2 << 20
+#: Bytes that a block should send to a range; bounds of a block; text that a task packs at once.
+ROW_BYTES, LEAST_BLOCK, MOST_BLOCK, PACK_BYTES = 8 << 10, 8 << 20, 128 << 20, 32 << 20
+PACKED = "block long, docs binary"
+#: Stands for a null doc_id in the order of ranges.
+_NO_ID = -(1 << 63)
 REQUEST = "block long, stream int, part int, keys binary, vals binary"
 ANSWER = "block long, stream int, part int, reply binary"
 _REQUEST_ARROW = pa.schema([("block", pa.int64()), ("stream", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -54,32 +64,120 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 def block_count(docs: DataFrame, block_bytes: int | None = None) -> int:
     """Blocks, and ranges, of the exchange. Each block sends a row to each range, so both
-    must grow with the square root of the input for rows to stay worth their overhead:
-    a block has the geometric mean of the input and ROW_BYTES, 2 MB at least (16 MB of 30 GB,
-    0.9 GB of 100 TB, where executors are larger too)."""
+    should grow with the square root of the input for rows to stay worth their overhead:
+    a block has the geometric mean of the input and ROW_BYTES (16 MB of 30 GB), between
+    LEAST_BLOCK and MOST_BLOCK, which is what one task has to hold."""
     total = text_bytes(docs)
-    block_bytes = block_bytes or max(LEAST_BLOCK, int((total * ROW_BYTES) ** 0.5))
+    block_bytes = block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, int((total * ROW_BYTES) ** 0.5)))
     return max(2, -(-total // block_bytes))
 
 
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, doc_id, text to rows of PACKED."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        block = table["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        table, block = table.take(pa.array(order)), block[order]
+        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        data, offsets = utf8_column(table["text"])
+        ids = table["doc_id"].combine_chunks()
+        null = ids.is_null().to_numpy(zero_copy_only=False) + 2 * table["text"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        zip_ = zstandard.ZstdCompressor(level=3)
+        blobs = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            head = np.array([b - a], np.int64).tobytes() + ids[a:b].tobytes() + np.diff(offsets[a : b + 1]).tobytes() + null[a:b].astype(np.uint8).tobytes()
+            blobs.append(zip_.compress(head + data[offsets[a] : offsets[b]].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]]), pa.array(blobs, pa.binary())], names=["block", "docs"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """doc_id, text of the rows of a block."""
+    ids, none, sizes, texts = [], [], [], []
+    for blob in table["docs"].to_pylist():
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+        n = int(np.frombuffer(raw[:8], np.int64)[0])
+        ids.append(np.frombuffer(raw[8 : 8 + 8 * n], np.int64))
+        sizes.append(np.frombuffer(raw[8 + 8 * n : 8 + 16 * n], np.int64))
+        none.append(np.frombuffer(raw[8 + 16 * n : 8 + 17 * n], np.uint8))
+        texts.append(raw[8 + 17 * n :])
+    if not ids:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.large_string())})
+    null = np.concatenate(none)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    valid = pa.py_buffer(np.packbits((null & 2) == 0, bitorder="little"))
+    text = pa.Array.from_buffers(pa.large_string(), len(null), [valid, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))])
+    return pa.table({"doc_id": pa.array(np.concatenate(ids), mask=(null & 1) > 0), "text": text})
+
+
+def packed(dealt: DataFrame) -> DataFrame:
+    """The dealt documents (block, doc_id, text) as packed rows."""
+    return dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer, PACKED)
+
+
 def by_hash(docs: DataFrame, n: int) -> DataFrame:
-    """Documents dealt to ``n`` blocks by a hash of their id and text."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)))
+    """Documents dealt to ``n`` blocks by a hash of their id and text, packed."""
+    return packed(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))))
 
 
-def by_range(docs: DataFrame, n: int) -> DataFrame:
-    """Documents dealt to about ``n`` blocks of ascending doc_id (null first): the
-    bounds are approximate quantiles, n numbers on the driver."""
-    marks = sorted({int(x) for x in (docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) or [])})
-    bounds = np.array(marks, dtype=np.int64)
+def ranged(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with a column block of about ``n`` ranges of ascending doc_id (null first).
+    The bounds are approximate quantiles, n numbers on the driver. A doc_id, or null, that
+    takes several quantiles is split by the SHA-256 of the text: rows of one doc_id are in
+    that order (``in_order``)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    marks = docs.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) or []
+    ids, times = np.unique(np.array([min(int(x), (1 << 63) - 1) for x in marks], np.int64), return_counts=True)
+    hot = ids[times > 1]
+    # after a split doc_id the next range begins
+    after = np.setdiff1d(hot[hot < (1 << 63) - 1] + 1, ids)
+    edges = np.sort(np.concatenate([np.repeat(ids, times), after]))
+    digest = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 13), 16, 10).cast("double") / float(16**13)
+    part = F.when(key.isin(hot.tolist()), digest).otherwise(F.lit(0.0)) if len(hot) else F.lit(0.0)
 
-    def block(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int64)
-        out[known] = np.searchsorted(bounds, ids[known].astype("int64").to_numpy(), "right")
-        return pd.Series(out)
+    def block(ids: pd.Series, part: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(edges, ids.to_numpy(), side) for side in ("left", "right"))
+        same = high - low
+        return pd.Series(low + np.where(same > 0, np.floor(part.to_numpy() * same).astype(np.int64) + 1, 0))
 
-    return docs.withColumn("block", F.pandas_udf(block, "long")("doc_id"))
+    return docs.withColumn("block", F.pandas_udf(block, "long")(key, part))
+
+
+def by_range(docs: DataFrame, n: int) -> DataFrame:
+    """Documents dealt to about ``n`` blocks as ``ranged``, packed."""
+    return packed(ranged(docs, n))
+
+
+def in_order(docs: pa.Table) -> pa.Table:
+    """doc_id, text ascending: null first, rows of one doc_id by the SHA-256 of their text."""
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))
+    ids = docs["doc_id"].combine_chunks()
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(_NO_ID).to_numpy()
+    same = (ids[1:] == ids[:-1]) & (none[1:] == none[:-1])
+    if not same.any():
+        return docs
+    order = np.arange(len(ids))
+    edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a > 1:
+            texts = docs["text"].slice(a, b - a).to_pylist()
+            digests = [hashlib.sha256((t or "").encode()).digest() for t in texts]
+            order[a:b] = a + np.array(sorted(range(b - a), key=lambda i: (digests[i], texts[i] is not None)))
+    return docs.take(pa.array(order))
 
 
 def sent(block: int, streams: list[tuple[np.ndarray, np.ndarray | None]], n_parts: int) -> pa.Table:
@@ -106,18 +204,12 @@ def _by_stream(replies: pa.Table, dtype, n_streams: int) -> list[np.ndarray]:
     return [np.concatenate(g) if g else np.zeros(0, dtype) for g in got]
 
 
-def ask(blocks: DataFrame, keys_of: Callable, n_parts: int, earlier: DataFrame | None = None, dtype=None, n_streams: int = 0) -> DataFrame:
-    """Requests of all blocks; keys_of gives a block's streams. In a later round it also
-    gets the ``earlier`` answers by stream."""
+def ask(blocks: DataFrame, keys_of: Callable, n_parts: int) -> DataFrame:
+    """Requests of all blocks; keys_of gives a block's streams."""
 
     def send(table: pa.Table) -> pa.Table:
-        return sent(table["block"][0].as_py(), keys_of(table), n_parts)
-
-    def send_again(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return sent(table["block"][0].as_py(), keys_of(table, _by_stream(replies, dtype, n_streams)), n_parts)
+        return sent(table["block"][0].as_py(), keys_of(unpacked(table)), n_parts)
 
-    if earlier is not None:
-        return blocks.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(send_again, REQUEST)
     return blocks.groupBy("block").applyInArrow(send, REQUEST)
 
 
@@ -142,7 +234,7 @@ def resolve(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, l
     """finish(documents of a block, its answers by stream in key order) gives rows."""
 
     def meet(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(docs, _by_stream(replies, dtype, n_streams))
+        return finish(unpacked(docs), _by_stream(replies, dtype, n_streams))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 

@@ -82,8 +82,8 @@ c3 AS (SELECT a3 AS k, count(*) AS n FROM g WHERE a3 IS NOT NULL GROUP BY 1),
 total AS (SELECT count(*) AS n FROM g),
 s AS (
   SELECT g.doc_id, CASE
-    WHEN c3.n >= 2 THEN ln(c3.n / h2.n)
-    WHEN c2.n >= 2 THEN ln(c2.n / h1.n) + CASE WHEN g.i > 2 THEN ln(0.4) ELSE 0 END
+    WHEN c3.n IS NOT NULL THEN ln(c3.n / h2.n)
+    WHEN c2.n IS NOT NULL THEN ln(c2.n / h1.n) + CASE WHEN g.i > 2 THEN ln(0.4) ELSE 0 END
     ELSE ln(c1.n / total.n) + least(g.i - 1, 2) * ln(0.4) END AS s
   FROM g JOIN c1 ON c1.k = g.a1 LEFT JOIN c2 ON c2.k = g.a2 LEFT JOIN c3 ON c3.k = g.a3
     LEFT JOIN c1 h1 ON h1.k = g.a2[1] LEFT JOIN c2 h2 ON h2.k = g.a3[1:2] CROSS JOIN total)

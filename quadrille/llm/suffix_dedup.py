@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadrille.llm.exchange import ANSWER, _ANSWER_ARROW, answer, ask, block_count, by_hash, unpack
+from quadrille.llm.exchange import ANSWER, _ANSWER_ARROW, answer, ask, block_count, by_hash, unpack, unpacked
 from quadrille.llm.suffix import common_prefixes, suffix_array
 from quadrille.llm.textops import RADIX, U64, byte_chunks, mix, utf8_column
 
@@ -197,7 +197,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
         return np.concatenate([unpack(r, np.uint8) for _, r in got]) if got else np.zeros(0, np.uint8)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(table, width, gram)
+        own = table["block"][0].as_py() if table.num_rows else 0
+        block = _Block(unpacked(table), width, gram)
         codes = codes_by_entry(replies)
         view = memoryview(np.ascontiguousarray(block.data))
         rows: list[tuple] = []
@@ -212,7 +213,6 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
                 rows.append((key, e, 0, windows, weight, text))
         key, entry, at, windows, weight, texts = zip(*rows, strict=True) if rows else [()] * 6
         key = mix(np.array(key, U64))
-        own = table["block"][0].as_py() if table.num_rows else 0
         columns = [(key % U64(4 * n)).astype(np.int64), key.view(np.int64), np.full(len(key), own), *(np.array(c, np.int32) for c in (entry, at, windows, weight))]
         return pa.table([*map(pa.array, columns), pa.array(texts, pa.binary())], schema=_SEGMENT_ARROW)
 
@@ -238,6 +238,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
         return pa.table([rows["block"], stream, rows["entry"], pa.array(replies, pa.binary())], schema=_ANSWER_ARROW)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        table = unpacked(table)
         block = _Block(table, width, gram)
         codes = codes_by_entry(replies)
         cover = np.zeros(len(block.data) + 1, np.int64)

@@ -14,7 +14,7 @@ from quadrille.llm.exact_dedup import CountingQuotientFilter, exact_dedup, keep_
 from quadrille.llm.jaccard import ngram_jaccard
 from quadrille.llm.language_id import identify_language, keep_identified, learn
 from quadrille.llm.license_scan import LICENSES, license_scan
-from quadrille.llm.lm_score import lm_score
+from quadrille.llm.lm_score import lm_score, ngram_counts
 from quadrille.llm.merkle import Tree, differing, edited, fingerprint_with_next, likeness
 from quadrille.llm.mixing import mix_sources, schedule
 from quadrille.llm.pieces import Codec, Vocabulary, decode_pieces, encode_pieces
@@ -76,13 +76,15 @@ def test_lm_score(odd, empty):
                 g = tuple(w[k - n + 1 : k + 1])
                 if n == 1:
                     s += math.log(counts[g] / total) + fine
-                elif counts[g] >= 2:
+                elif counts[g]:
                     s += math.log(counts[g] / counts[g[:-1]]) + fine
                     break
                 fine += math.log(0.4)
         return len(w), round(s, 6) if w else None
 
     want = Counter((i, *score(t)) for i, t in docs)
+    tables = Counter((r.n, r.total) for r in ngram_counts(odd, block_bytes=20_000).collect())
+    assert tables == Counter((len(g), c) for g, c in counts.items()) + Counter([(0, total)])
     got = lm_score(odd, block_bytes=20_000).select("doc_id", "n_words", F.round("log_score", 6)).collect()
     assert as_counter(got) == want
     assert lm_score(empty).count() == 0
@@ -127,7 +129,7 @@ def test_exact_dedup(odd, empty):
 
 
 def test_substring_dedup(odd, empty):
-    docs = sorted(pairs(odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    docs = sorted(pairs(odd), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
     seen, want = set(), Counter()
     for i, t in docs:
         w = words(t)
@@ -144,10 +146,64 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
-def test_factors_are_repeats(odd):
-    rows = substring_dedup(odd, block_bytes=20_000).collect()
-    assert all(f.length >= 20 and f.start + f.length <= r.n_words for r in rows for f in r.factors)
-    assert all(bool(r.factors) == (r.n_removed > 0) for r in rows)
+def blocks_of(docs, block_bytes):
+    """The words of each reference block, as the operator deals and orders them."""
+    import pyarrow as pa
+
+    from quadrille.llm.exchange import block_count, in_order, ranged
+
+    src = docs.select("doc_id", "text")
+    rows = ranged(src, block_count(src, block_bytes)).toArrow()
+    found = {}
+    for b in set(rows["block"].to_pylist()):
+        own = in_order(rows.filter(pa.compute.equal(rows["block"], b)))
+        found[b] = [w for t in own["text"].to_pylist() for w in words(t)]
+    return found
+
+
+def test_factors_occur_in_their_reference(odd):
+    rows = substring_dedup(odd, block_bytes=5_000).collect()
+    blocks, texts = blocks_of(odd, 5_000), defaultdict(set)
+    assert len(blocks) > 5
+    for i, t in pairs(odd):
+        texts[i].add(tuple(words(t)))
+    for r in rows:
+        assert bool(r.factors) == (r.n_removed > 0)
+        for f in r.factors:
+            assert f.length >= 20 and f.start + f.length <= r.n_words
+            there = tuple(blocks[f.reference][f.position : f.position + f.length])
+            assert any(t[f.start : f.start + f.length] == there for t in texts[r.doc_id])
+    assert len({f.reference for r in rows for f in r.factors}) > 3
+
+
+def test_factors_are_greedy_and_boundaries_looked_up(spark):
+    w = [f"w{i}" for i in range(60)]
+    first = [(1, " ".join(w[:30]) + " x"), (2, "y " + " ".join(w[11:60]))]
+    rows = first + [(i, " ".join(f"f{i}_{j}" for j in range(50))) for i in range(3, 40)] + [(99, " ".join(w))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (got,) = [r for r in substring_dedup(docs, block_bytes=1000).collect() if r.doc_id == 99]
+    assert got.n_removed == 60 and got.kept_text == ""
+    assert [(f.start, f.length, f.position) for f in got.factors if f.length > 20] == [(0, 30, 0), (30, 30, 51)]
+    assert sorted(f.start for f in got.factors if f.length == 20) == list(range(11, 30))
+
+
+def test_substring_dedup_splits_rows_without_ids(spark):
+    base = [" ".join(f"{i}a{j}" for j in range(60)) for i in range(30)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base] + [(5, base[0]), (6, base[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = blocks_of(docs, 4000)
+    assert sum(len(b) > 0 for b in blocks.values()) > 3  # null ids lie in several blocks
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    seen, want = set(), Counter()
+    for i, t in order:
+        w, gone = words(t), set()
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if g in seen else set()
+            seen.add(g)
+        want[i, len(w), len(gone)] += 1
+    got = substring_dedup(docs, block_bytes=4000).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == want
 
 
 def test_suffix_dedup(odd, empty):
