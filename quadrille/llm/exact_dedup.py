@@ -9,7 +9,8 @@ these group by the text itself, so that a collision of fingerprints never merges
 two texts. The others are done.
 
 Scale: a partition sends one column for each slot range, at most one entry for each
-distinct fingerprint. The groups of copies are pre-aggregated map-side; in the join that
+distinct fingerprint; there is a range for each RANGE_BYTES of text. The groups of copies,
+and rows of one doc_id in them, are pre-aggregated map-side; in the join that
 hands each copy its group, a group over SALT_ROWS copies is dealt to as many salts as its
 fingerprint's counter calls for.
 
@@ -22,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
-from quadrille.llm.textops import U64
-
+from quadrille.llm.textops import U64, text_bytes
 
 #: Copies that meet in one task when their group is handed out.
 SALT_ROWS = 1024
+#: Text whose fingerprints are merged in one task; least ranges and bits of a quotient.
+RANGE_BYTES, LEAST_RANGES, LEAST_QBITS = 8 << 30, 64, 16
 
 
 class CountingQuotientFilter:
@@ -100,8 +102,15 @@ def _build(qbits: int, n_ranges: int):
     return build
 
 
-def repeated_fingerprints(prints: DataFrame, qbits: int, n_ranges: int) -> DataFrame:
-    """``prints``: one long column. Rows (fp, fp_count) of those counted twice or more."""
+def range_count(docs: DataFrame) -> int:
+    """Tasks that merge filters, a power of two."""
+    return max(LEAST_RANGES, 1 << (text_bytes(docs) // RANGE_BYTES).bit_length())
+
+
+def repeated_fingerprints(prints: DataFrame, n_ranges: int) -> DataFrame:
+    """``prints``: one long column. Rows (fp, fp_count) of those counted twice or more.
+    ``n_ranges`` (a power of two) tasks merge the filters."""
+    qbits = max(LEAST_QBITS, n_ranges.bit_length() + 1)
     per = (1 << qbits) // n_ranges
     filters = prints.mapInArrow(_build(qbits, n_ranges), "slot_range int, slots binary, keys binary, counts binary")
 
@@ -115,13 +124,13 @@ def repeated_fingerprints(prints: DataFrame, qbits: int, n_ranges: int) -> DataF
     return filters.groupBy("slot_range").applyInArrow(merge, "fp long, fp_count long")
 
 
-def exact_dedup(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays. One row per row of
     ``docs``: doc_id, keep_id, group_size, kept, text_sha256. ``n_ranges`` (a power of
     two) tasks merge the filters."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp"))
-    heavy = repeated_fingerprints(rows.select("fp"), qbits, n_ranges)
+    heavy = repeated_fingerprints(rows.select("fp"), n_ranges or range_count(docs))
 
     hashed = docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256"))
     alone = hashed.join(heavy.select("fp"), "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -130,19 +139,23 @@ def exact_dedup(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFra
     classes = verify.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("salts").alias("salts"))
     classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     salted = verify.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
-    copies = salted.join(classes, ["text", "salt"]).select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"))
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1)))
-    copies = copies.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
+    # rows that repeat text and doc_id travel as one with their number
+    times = salted.groupBy("text", "salt", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    copies = times.join(classes, ["text", "salt"]).select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "times")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    copies = copies.withColumn("at", F.explode(F.expr(f"sequence(0L, (times - 1) div {SALT_ROWS})")))
+    copies = copies.withColumn("turn", F.explode(F.expr(f"sequence(0L, least({SALT_ROWS}L, times - at * {SALT_ROWS}) - 1)")))
+    copies = copies.withColumn("kept", stays & (F.col("at") == 0) & (F.col("turn") == 0))
     return alone.unionByName(copies.select(alone.columns))
 
 
-def keep_one(docs: DataFrame, qbits: int = 16, n_ranges: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps: whole rows
     meet the repeated fingerprints once, and only copies are grouped by their text (each
     partition sends one row of a group at most)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("fp"))
-    heavy = repeated_fingerprints(docs.select(F.xxhash64(text)), qbits, n_ranges)
+    heavy = repeated_fingerprints(docs.select(F.xxhash64(text)), n_ranges or range_count(docs))
     met = rows.join(heavy, "fp", "left")
     order = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63)))
     copies = met.where("fp_count is not null").groupBy(F.coalesce("row.text", F.lit("")).alias("t")).agg(F.max_by("row", order).alias("row"))
