@@ -16,10 +16,12 @@ broadcast. Defined cases: null text gives null pieces and null text back; empty
 no pieces; U+2581 in a text is kept apart from a blank (byte pieces).
 """
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -44,6 +46,11 @@ class Vocabulary:
     bytes_at: list[int]  # the id of each byte's piece
     special: frozenset[int] = field(default_factory=frozenset)
 
+    @cached_property
+    def digest(self) -> str:
+        """Equal for equal vocabularies."""
+        return hashlib.sha256(repr((self.pieces, self.scores, self.bytes_at, sorted(self.special))).encode()).hexdigest()
+
     @classmethod
     def load(cls, path: str = MODEL) -> "Vocabulary":
         import sentencepiece
@@ -126,12 +133,12 @@ class Codec:
         return b"".join(map(self.out.__getitem__, ids))[1:].decode()
 
 
-_codecs: dict[tuple[int, bool], Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
-def _codec(broadcast, encodes: bool) -> Codec:
-    """One codec a worker process, kept between its tasks."""
-    key = id(broadcast.value), encodes
+def _codec(broadcast, digest: str, encodes: bool) -> Codec:
+    """One codec a worker process, kept between its tasks; digest: the vocabulary's."""
+    key = digest, encodes
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(broadcast.value, encodes)
@@ -141,12 +148,13 @@ def _codec(broadcast, encodes: bool) -> Codec:
 def encode_pieces(docs: DataFrame, carry: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
     """doc_id, ``carry`` columns, n_tokens, token_ids of every row of ``docs``."""
     src = docs.select("doc_id", *carry, "text")
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    loaded = Vocabulary.load(model)
+    digest, vocabulary = loaded.digest, docs.sparkSession.sparkContext.broadcast(loaded)
     kept = ["doc_id", *carry]
     schema = T.StructType([*(src.schema[c] for c in kept), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary, True)
+        codec = _codec(vocabulary, digest, True)
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
@@ -166,12 +174,13 @@ def encode_pieces(docs: DataFrame, carry: tuple[str, ...] = (), model: str = MOD
 def decode_pieces(encoded: DataFrame, carry: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
     """doc_id, ``carry`` columns, text of every row of ``encoded`` (doc_id, token_ids)."""
     src = encoded.select("doc_id", *carry, "token_ids")
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    loaded = Vocabulary.load(model)
+    digest, vocabulary = loaded.digest, encoded.sparkSession.sparkContext.broadcast(loaded)
     kept = ["doc_id", *carry]
     schema = T.StructType([*(src.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary, False)
+        codec = _codec(vocabulary, digest, False)
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
