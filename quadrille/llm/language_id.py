@@ -13,8 +13,8 @@ above what that language's calibration documents have (``reject_z`` deviations,
 text's length taken into account): text in none of the learnt languages.
 
 Learning takes a bounded sample: of each language the ``sample_docs`` rows first by a hash
-of doc_id, without those over ``sample_chars`` characters; it is the only thing the driver
-sees and bounds the model, which is broadcast. Prediction is map-only over all rows and
+of doc_id and text, without those over ``sample_chars`` characters; it is the only thing the
+driver sees and bounds the model, which is broadcast. Prediction is map-only over all rows and
 whole texts; it sees nothing but the text.
 
 Defined cases: null text, or one without letters, is ``und`` with score 0 and rejected;
@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from quadrille.llm.textops import U64, byte_chunks, give_back, mix
 
 ORDER = 4
+#: Letters of the sample that have a symbol of their own (the commonest; symbols have 16
+#: bits). All others share the symbol of an unknown letter.
+ALPHABET = 65_000
 _CODES = 0x110000
 #: Characters that are judged at a time, or one longer text.
 CHUNK = 1 << 18
@@ -253,7 +256,7 @@ def train(rows: list[tuple[str, str, bool]]) -> Model | None:
     learn = {k: [t for lang, t, held in rows if lang == k and not held] or [t for lang, t, _ in rows if lang == k] for k in languages}
     prepared = {k: normalise(v)[:2] for k, v in learn.items()}
     seen, n = np.unique(np.concatenate([c for c, _ in prepared.values()]), return_counts=True)
-    seen = np.sort(seen[np.argsort(-n, kind="stable")[:65_000]])
+    seen = np.sort(seen[np.argsort(-n, kind="stable")[:ALPHABET]])
     model = Model(languages, seen, [], [], np.zeros(len(languages)))
     langs = [_kneser_ney(model.symbols(c), o) for c, o in prepared.values()]
     for n in range(1, ORDER + 1):
@@ -291,15 +294,18 @@ def _calibrate(model: Model, rows: list[tuple[str, str, bool]]) -> None:
 
 
 def learn(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 20_000) -> Model | None:
-    """The model of the labelled rows (non-null lang) outside the held-out fifth."""
-    labelled = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    """The model of the labelled rows (non-null lang) outside the held-out fifth. Rows that
+    repeat doc_id, lang and text count once."""
+    key = F.xxhash64("doc_id", "lang", "text")
+    labelled = docs.where("lang is not null and text is not null").where(~held_out())
+    keys = labelled.select("lang", key.alias("h"))
     # first within 64 parts of a language, so that no task sees all its rows
-    part = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = labelled.withColumn("p", part).where(F.col("p") <= sample_docs).withColumn("r", rank).where(F.col("r") <= sample_docs).select("doc_id", (F.col("h") % 6 == 0).alias("calibrates"), "r")
-    texts = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(F.length("text") <= sample_chars).where(~held_out())
-    rows = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("lang", "text", "calibrates", "doc_id").collect()
-    return train([(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[3], r[1]))])
+    part = F.dense_rank().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = keys.withColumn("p", part).where(F.col("p") <= sample_docs).select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= sample_docs).select("h", (F.pmod("h", F.lit(6)) == 0).alias("calibrates"))
+    texts = labelled.where(F.length("text") <= sample_chars).select("lang", "text", key.alias("h"))
+    rows = texts.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("lang", "text", "calibrates", "h").collect()
+    return train([(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[3]))])
 
 
 def held_out():
