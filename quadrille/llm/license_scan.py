@@ -1,7 +1,8 @@
 """Licence scan: canonical digest lookup (operator 6, DataFrame functions only).
 
 The whole text is brought to a canonical form - lower case, no copyright lines, only
-letters and digits, equivalent spellings made one - and its SHA-256 is looked up in the
+letters and digits, equivalent spellings made one, so that wrapping and comment marks don't
+count - and its SHA-256 is looked up in the
 table of known licences by a hash join. The known side has one row for each text below, a
 bound fixed by this module, so it is broadcast; the document side is a map-only scan.
 
@@ -85,14 +86,20 @@ LICENSES = [
     ("Unlicense", _UNLICENSE),
     *((name, files("quadrille.llm").joinpath("licenses", f"{file}.txt").read_text("utf-8")) for name, file in WHOLE.items()),
 ]
-#: A line that states a copyright and no more.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+#: What may lead a line of a notice: blanks and marks of comments.
+_LEAD = r"(?m)^([ \t#*/;-]*)"
+#: Lines that begin with "copyright" but go on with the licence's own words.
+OWN_WORDS = _LEAD + r"(copyright[ \t]+(?:notices?|holders?|owners?|laws?|licen[sc]es?|disclaimers?|statements?|interests?|protection|treaty|treaties|and|or|in|is|to|under|of|for|that|the terms|permission|as)\b)"
+#: A line that states a copyright and no more, or the reservation that follows it.
+COPYRIGHT_LINE = _LEAD + r"(?:copyright\b|\(c\)[ \t]*(?:copyright|[0-9]{4})|\x{a9}|all rights reserved\.?[ \t]*$)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a licence text."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(t, OWN_WORDS, "=$2")  # no longer begins with the word
+    t = F.regexp_replace(t, COPYRIGHT_LINE, " ")
     t = F.trim(F.regexp_replace(t, NOT_WORD, " "))
     for spelt, as_ in SPELLINGS.items():
         t = F.replace(t, F.lit(spelt), F.lit(as_))
