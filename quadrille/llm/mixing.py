@@ -11,13 +11,15 @@ by one fold over its slots in one row of constants - and block b of a source tak
 b mod share in period b div share. A source that ran out leaves its slots empty.
 
 Scale: a row's place in its source is a count of the rows in lower hash ranges plus its
-rank in its own: the source is never gathered, however large. The tables of counts have
-one row for each source and hash range, the schedule one row for each slot: both are
-bounded by parameters and the number of sources.
-
-Defined cases: a null source is a source of its own; rows that tie in doc_id are ordered
-by text digest where asked through ``tie``, else arbitrarily but each gets its own place;
-an empty table gives no rows.
+rank in its own: the source is never gathered, however large, and ranges grow in number
+with the input (``range_digits``). The tables of counts have one row for each source and
+hash range. The schedule has one row for each slot; its fold takes slots x sources steps in
+one task, so sources are meant to be thousands at most.
+
+Defined cases: a null source is a source of its own; rows are taken in the order of the MD5
+of doc_id and the MD5 of their text (null as empty), which also spreads rows without ids or
+of one id; only rows that repeat doc_id and text tie, and each gets its own place; a table
+without a column text goes by doc_id alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.textops import text_bytes
+
+#: Bytes of text that a hash range should hold, if all were of one source.
+RANGE_BYTES = 256 << 20
 #: Stands for a null source.
 NO_SOURCE = "\u0001none"
 
@@ -56,15 +62,28 @@ def schedule(shares: DataFrame) -> DataFrame:
     return planned.select(F.expr("s[e.i].src").alias("src"), F.expr("s[e.i].share").alias("share"), F.col("e.turn").alias("turn"), F.col("e.slot").alias("slot"), "period")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = 16, slots: int = 256, alpha: float = 0.5, digits: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+def range_digits(docs: DataFrame) -> int:
+    """Hex digits of a key that make a range: 256 ranges at least."""
+    ranges, digits = text_bytes(docs) // RANGE_BYTES, 2
+    while 16**digits < ranges:
+        digits += 1
+    return digits
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = 16, slots: int = 256, alpha: float = 0.5, digits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, block (of its source), slot and
     mix_position, by which the mixture is read; ``carry`` names further columns to keep.
 
     weights: slots a period for each source (a source that is not named gets one);
-    without them, slots in proportion to rows**alpha. Rows of a source are taken in the
-    order of md5(doc_id); ``digits`` hex digits of it (16**digits ranges) split a source.
+    without them, slots in proportion to rows**alpha. ``digits`` hex digits of the rows'
+    keys (16**digits ranges) split a source; without them, ``range_digits``.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    if "text" in docs.columns:
+        parts.append(F.md5(F.coalesce("text", F.lit(""))))
+        digits = digits or range_digits(docs)
+    digits = digits or 2
+    key = F.md5(F.concat_ws(" ", *parts))
     rows = docs.select("doc_id", "source", *carry, F.coalesce("source", F.lit(NO_SOURCE)).alias("__src"), key.alias("__key"), F.substring(key, 1, digits).alias("__range"))
 
     sizes = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("__src"), F.substring(key, 1, digits).alias("__range")).groupBy("__src", "__range").agg(F.count(F.lit(1)).alias("n"))
@@ -78,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block_ro
     plan = schedule(shares)
     share = plan.where("turn = 0").select(F.col("src").alias("__src"), "share", "period")
 
-    rank = F.row_number().over(Window.partitionBy("__src", "__range").orderBy("__key", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("__src", "__range").orderBy("__key"))
     placed = rows.withColumn("__rank", rank).join(before.join(share, "__src"), ["__src", "__range"]).withColumn("__at", F.col("__before") + F.col("__rank") - 1)
     placed = placed.withColumn("block", F.expr(f"__at div {int(block_rows)}")).withColumn("__turn", (F.col("block") % F.col("share")).cast("int"))
     slot_of = plan.select(F.col("src").alias("__src"), F.col("turn").alias("__turn"), "slot")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.exact_dedup import exact_dedup
 from quadrille.llm.jaccard import ngram_jaccard
 from quadrille.llm.language_id import identify_language
-from quadrille.llm.license_scan import COPYRIGHT_LINE, LICENSES, SPELLINGS, license_scan
+from quadrille.llm.license_scan import COPYRIGHT_LINE, LICENSES, OWN_WORDS, SPELLINGS, license_scan
 from quadrille.llm.lm_score import lm_score
 from quadrille.llm.merkle import fingerprint_with_next
 from quadrille.llm.mixing import mix_sources
@@ -110,7 +110,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 
 def _canonical_sql(column: str) -> str:
-    t = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
+    t = rf"regexp_replace(lower(coalesce({column}, '')), '{OWN_WORDS}', '=\2', 'g')"
+    t = f"regexp_replace({t}, '{COPYRIGHT_LINE}', ' ', 'g')"
     t = rf"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for a, b in SPELLINGS.items():
         t = f"replace({t}, '{a}', '{b}')"
@@ -138,7 +139,7 @@ run AS (
       lambda i: {'due': ((run.done[i] + 1) * s.period + s.share[i] - 1) // s.share[i], 'i': i}))[1].i AS p
     FROM run, s WHERE run.t < s.period)),
 plan AS (SELECT s.src[pick] AS src, s.share[pick] AS share, s.period, turn, t - 1 AS slot FROM run, s WHERE t > 0),
-r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents)
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || ' ' || md5(coalesce(text, '')))) - 1 AS k FROM documents)
 SELECT doc_id, source, k // 16 AS block, (k // 16 // share) * period + slot AS slot, ((k // 16 // share) * period + slot) * 16 + k % 16 AS mix_position
 FROM r JOIN plan ON plan.src = r.source AND plan.turn = (k // 16) % share
 """

@@ -28,7 +28,7 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order in which the mixture is read: sorted files."""
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
     return in_mixed_order(mix_sources(rows, carry=("__row",))).select("__row.*")
 
 
