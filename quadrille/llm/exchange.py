@@ -29,10 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.textops import U64, text_bytes, utf8_column
+from quadrille.llm.textops import U64, give_back, text_bytes, utf8_column
 
 #: Bytes that a block should send to a range; bounds of a block; text that a task packs at once.
-ROW_BYTES, LEAST_BLOCK, MOST_BLOCK, PACK_BYTES = 8 << 10, 8 << 20, 128 << 20, 32 << 20
+ROW_BYTES, LEAST_BLOCK, MOST_BLOCK, PACK_BYTES = 2 << 10, 2 << 20, 32 << 20, 32 << 20
 PACKED = "block long, docs binary"
 #: Stands for a null doc_id in the order of ranges.
 _NO_ID = -(1 << 63)
@@ -62,14 +62,30 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, U64), dtype=U64)
 
 
-def block_count(docs: DataFrame, block_bytes: int | None = None) -> int:
-    """Blocks, and ranges, of the exchange. Each block sends a row to each range, so both
-    should grow with the square root of the input for rows to stay worth their overhead:
-    a block has the geometric mean of the input and ROW_BYTES (16 MB of 30 GB), between
-    LEAST_BLOCK and MOST_BLOCK, which is what one task has to hold."""
+def block_count(docs: DataFrame, block_bytes: int | None = None, least: int = LEAST_BLOCK, most: int = MOST_BLOCK) -> tuple[int, int]:
+    """Blocks and ranges of the exchange. Each block sends a row to each range, so both
+    should grow with the square root of the input for rows to stay worth their overhead: a
+    range has the geometric mean of the input and ROW_BYTES, ``least`` at least (8 MB of 30 GB,
+    0.45 GB of 100 TB), and so has a block up to ``most``, which bounds what a task holds."""
     total = text_bytes(docs)
-    block_bytes = block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, int((total * ROW_BYTES) ** 0.5)))
-    return max(2, -(-total // block_bytes))
+    mean = max(least, int((total * ROW_BYTES) ** 0.5))
+    return tuple(max(2, -(-total // size)) for size in (block_bytes or min(most, mean), block_bytes or mean))
+
+
+def freeing(f: Callable) -> Callable:
+    """``f``, which gives memory back to the system when it ends."""
+
+    def one(table):
+        out = f(table)
+        give_back()
+        return out
+
+    def two(table, other):
+        out = f(table, other)
+        give_back()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two  # Spark looks at the number of arguments
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +226,7 @@ def ask(blocks: DataFrame, keys_of: Callable, n_parts: int) -> DataFrame:
     def send(table: pa.Table) -> pa.Table:
         return sent(table["block"][0].as_py(), keys_of(unpacked(table)), n_parts)
 
-    return blocks.groupBy("block").applyInArrow(send, REQUEST)
+    return blocks.groupBy("block").applyInArrow(freeing(send), REQUEST)
 
 
 def answer(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[bytes]], np.ndarray]) -> DataFrame:
@@ -227,7 +243,7 @@ def answer(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[by
         blobs = [pack(got[cut[i] : cut[i + 1]]) for i in range(len(sizes))]
         return pa.table([table["block"], table["stream"], table["part"], pa.array(blobs, pa.binary())], schema=_ANSWER_ARROW)
 
-    return requests.groupBy("stream", "part").applyInArrow(reply, ANSWER)
+    return requests.groupBy("stream", "part").applyInArrow(freeing(reply), ANSWER)
 
 
 def resolve(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], dtype, n_streams: int, schema: str) -> DataFrame:
@@ -236,7 +252,7 @@ def resolve(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, l
     def meet(docs: pa.Table, replies: pa.Table) -> pa.Table:
         return finish(unpacked(docs), _by_stream(replies, dtype, n_streams))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freeing(meet), schema)
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

@@ -1,16 +1,5 @@
 """Cutting lineage through the shared checkpoint folder that the cluster names."""
 
-from __future__ import annotations
+from quadrille.functions.lineage import cut
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint() in ``spark.checkpoint.dir``; only where
-    that setting is missing (tests on one machine) a temporary folder is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut"]

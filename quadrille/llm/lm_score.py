@@ -30,6 +30,8 @@ from quadrille.llm.exchange import answer, ask, block_count, by_hash, resolve, r
 from quadrille.llm.textops import U64, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
 
 SCHEMA = "doc_id long, n_words long, log_score double"
+#: Larger blocks repeat more of their n-grams and send fewer.
+LEAST_BLOCK = 4 << 20
 #: The key under which the number of words itself is counted.
 _ALL = np.array([0x5851F42D4C957F2D], dtype=U64)
 
@@ -71,14 +73,14 @@ def _sum(keys, owner, table):
 
 def _asked(docs: DataFrame, order: int, block_bytes: int | None):
     src = docs.select("doc_id", "text")
-    n = block_count(src, block_bytes)
+    n, n_ranges = block_count(src, block_bytes, LEAST_BLOCK)
     blocks = by_hash(src, n)
 
     def keys_of(table: pa.Table):
         words = _Words(table)
         return [(_ALL, np.array([words.first[-1]], U64)), *(words.counted(k) for k in range(1, order + 1))]
 
-    return blocks, ask(blocks, keys_of, n)
+    return blocks, ask(blocks, keys_of, n_ranges)
 
 
 def ngram_counts(docs: DataFrame, order: int = 3, block_bytes: int | None = None) -> DataFrame:
