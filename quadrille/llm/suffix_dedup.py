@@ -37,14 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quadrille.llm.exchange import ANSWER, _ANSWER_ARROW, answer, ask, block_count, by_hash, unpack, unpacked
+from quadrille.llm.exchange import ANSWER, _ANSWER_ARROW, answer, ask, block_count, by_hash, freeing, unpack, unpacked
 from quadrille.llm.suffix import common_prefixes, suffix_array
 from quadrille.llm.textops import RADIX, U64, byte_chunks, mix, utf8_column
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 SEGMENT = "shard long, anchor long, block long, entry int, at int, windows int, weight int, segment binary"
 _SEGMENT_ARROW = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("at", pa.int32()), ("windows", pa.int32()), ("weight", pa.int32()), ("segment", pa.binary())])
-_PLACE_BITS = 28  # a chunk, or one longer document, has fewer bytes than 2**28
+#: A piece of text, whose places are numbered, has fewer bytes than 2**28.
+_PLACE_BITS = 28
+_PIECE = 1 << 27
 #: Bits of an answer: repeated as a whole; wanted by a shard; its anchor has very many contexts.
 WHOLE, SORT, HOT = 1, 2, 4
 #: A byte that no UTF-8 text holds: between segments in a shard.
@@ -74,17 +76,26 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mix(h)
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray, width: int):
+    """First byte, each document's start and end in it, bytes: documents of some 2 MB
+    together. A longer document is cut into pieces that overlap by a window less a byte."""
+    for a, b in byte_chunks(offsets, 1 << 21):
+        base, end = int(offsets[a]), int(offsets[b])
+        if end - base < width:
+            continue
+        if end - base <= _PIECE:
+            yield base, offsets[a:b] - base, offsets[a + 1 : b + 1] - base, data[base:end]
+            continue
+        for at in range(base, end - width + 1, _PIECE):
+            part = data[at : min(end, at + _PIECE + width - 1)]
+            yield at, np.array([0]), np.array([len(part)]), part
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     """Segments of all documents: anchor, first window, windows, whether the anchor
     occurs again within. A chunk's windows never cross documents."""
     keys, firsts, counts, again = [], [], [], []
-    for a, b in byte_chunks(offsets, 1 << 21):
-        base = offsets[a]
-        part = data[base : offsets[b]]
-        if len(part) < width:
-            continue
-        if len(part) >= 1 << _PLACE_BITS:
-            raise ValueError(f"a text of {len(part)} bytes is over the limit of {1 << _PLACE_BITS}")
+    for base, lo, hi, part in _pieces(data, offsets, width):
         h = gram_hashes(part, gram)
         place = np.arange(len(h), dtype=U64)
         least = sliding_min((h >> U64(_PLACE_BITS) << U64(_PLACE_BITS)) | place, width - gram + 1)
@@ -92,8 +103,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
         at = least.astype(np.int64)
         key = h[at]
         valid = np.zeros(len(key) + 1, np.int64)
-        lo = offsets[a:b] - base
-        hi = np.minimum(np.maximum(offsets[a + 1 : b + 1] - base - width + 1, lo), len(key))
+        hi = np.minimum(np.maximum(hi - width + 1, lo), len(key))
         live = hi > lo
         np.add.at(valid, lo[live], 1)
         np.add.at(valid, hi[live], -1)
@@ -156,11 +166,28 @@ def _codes(hot_contexts: int):
     return codes
 
 
+def _short_runs(data: np.ndarray, most: int) -> np.ndarray:
+    """Which bytes stay where a run of one byte keeps its last ``most``."""
+    head = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1]]))
+    size = np.diff(np.append(head, len(data)))
+    keep = np.ones(len(data), bool)
+    for a, n in zip(head[size > most].tolist(), size[size > most].tolist(), strict=True):
+        keep[a : a + n - most] = False
+    return keep
+
+
 def _sort_batch(parts: list[bytes], windows: np.ndarray, width: int) -> np.ndarray:
-    """For the windows of all segments in turn: does another window equal it?"""
+    """For the windows of all segments in turn: does another window equal it?
+
+    Induced sorting takes a step for each byte of a run of one byte. Windows within a run
+    over width + 1 bytes all equal each other, and no window reaches both its ends, so runs
+    are cut to that: a window at a byte that goes is the one at the first byte that stays."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     data = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8)
     first = np.cumsum(sizes) - sizes
+    keep = _short_runs(data, width + 1)
+    data = data[keep]
+    new_place = np.cumsum(keep) - keep
     sa = suffix_array(data)
     plcp, phi = common_prefixes(data, sa)
     near = np.flatnonzero(plcp >= width)
@@ -169,7 +196,7 @@ def _sort_batch(parts: list[bytes], windows: np.ndarray, width: int) -> np.ndarr
     repeated[phi[near]] = True
     at = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
     # a common prefix may go on past a segment's end only beyond its last window
-    return repeated[at]
+    return repeated[new_place[at]]
 
 
 def _second_anchor(part: bytes, windows: int, width: int, gram: int):
@@ -185,7 +212,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
     else. One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs), kept (the remaining bytes)."""
     src = docs.select("doc_id", "text")
-    n = block_count(src, block_bytes)
+    n, n_ranges = block_count(src, block_bytes)
     blocks = by_hash(src, n)
 
     def keys_of(table: pa.Table):
@@ -266,8 +293,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 64, block_bytes:
         column = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
         return pa.table([table["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(np.diff(begun[block.offsets])), column], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    codes = answer(ask(blocks, keys_of, max(1, n // 8)), _codes(hot_contexts))  # a segment is some 170 windows
-    shipped = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(send, SEGMENT)
-    sorted_ = shipped.groupBy("shard").applyInArrow(sort, ANSWER)
+    codes = answer(ask(blocks, keys_of, max(1, n_ranges // 8)), _codes(hot_contexts))  # a segment is some 170 windows
+    shipped = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(freeing(send), SEGMENT)
+    sorted_ = shipped.groupBy("shard").applyInArrow(freeing(sort), ANSWER)
     replies = codes.unionByName(sorted_)
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCHEMA)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(freeing(finish), SCHEMA)
