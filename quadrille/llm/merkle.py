@@ -6,20 +6,22 @@ whatever the text's length: where a hash of the last ``WINDOW`` characters is pi
 ``LEAST`` characters or more, and where none is by ``MOST``, at the least hash up to there.
 So leaves are bounded and an edit moves only the cuts near it, in any text.
 A node's digest covers its children's digests in order, the root's also the length; the
-root is the fingerprint, so equal roots mean equal texts. Two trees are compared from the
-root down: equal branches count whole, only differing ones are opened, and the shared
-characters give the likeness, 2 * shared / (length + length), or the characters that both
-texts begin and end with, where these are more; ``differing`` names the leaves that hold
-an edit.
+root is the fingerprint, so equal roots mean equal texts.
+
+Two trees are compared from the root down, in order: equal branches are aligned (``aligned``)
+and count whole, only what lies between them is opened, down to the characters of differing
+leaves, of which the equal first and last ones count. What is left are the edits, spans of
+either text; all other characters are shared and give the likeness,
+2 * shared / (length + length). A branch that moved past another one is an edit.
 
 ``fingerprint_with_next`` compares each document with an edited copy and with its
-neighbour in descending doc_id. Documents are dealt to ranges of doc_id with one copy of
-the next range's first document, so each range is one sorted pass and no task sees more
-than a range; the text crosses the network once. The driver sees one number a range.
+neighbour in descending doc_id. Documents are dealt to ranges of doc_id, and the first
+document of each range also to the range that comes before it, so each range is one sorted
+pass, no task holds more than two documents, and the text crosses the network once.
 
 Defined cases: null text counts as empty; two empty texts have likeness 1, an empty and
-another 0; a null doc_id comes last; repeated doc_ids go in the order of their texts; a
-single document is its own neighbour.
+another 0; a null doc_id comes last; rows of one doc_id (or of none) go by descending
+SHA-256 of their text; a single document is its own neighbour.
 """
 
 import hashlib
@@ -29,12 +31,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.textops import sha256_hex, text_bytes
+from quadrille.llm.exchange import block_count, ranged
+from quadrille.llm.textops import sha256_hex
 
 MOST, LEAST, PICK, WINDOW = 64, 8, 16, 8
 _SECTION = re.compile(r"(?:\n[ \t\r]*){2,}")
@@ -105,70 +107,93 @@ class Tree:
         return _digest(b"S", [p[0] for p in paragraphs]), len(text), paragraphs
 
 
-def _match(a: list, b: list) -> tuple[int, list, list]:
-    """Characters in nodes that both lists hold (as often as both do), and the rest."""
-    have = Counter(x[0] for x in b)
-    shared, rest, used = 0, [], Counter()
-    for x in a:
-        if have[x[0]] > used[x[0]]:
-            used[x[0]] += 1
-            shared += x[1]
-        else:
-            rest.append(x)
-    other = []
-    for x in b:
-        if used[x[0]]:
-            used[x[0]] -= 1
+def _rising(places: list[int]) -> list[int]:
+    """Indexes of a longest rising run of distinct numbers."""
+    tops: list[int] = []  # least last number of a run of each length, and its index
+    last: list[int] = []
+    before = [-1] * len(places)
+    for i, x in enumerate(places):
+        k = bisect_left(tops, x)
+        if k == len(tops):
+            tops.append(x)
+            last.append(i)
         else:
-            other.append(x)
-    return shared, rest, other
-
-
-def _ends(a: str, b: str) -> int:
-    """Characters that two different texts begin and end with in common."""
-
-    def same(a: str, b: str, most: int, part) -> int:
-        low = 0
-        while low < most:
-            half = (low + most + 1) // 2
-            low, most = (half, most) if part(a, half) == part(b, half) else (low, half - 1)
-        return low
-
-    most = min(len(a), len(b))
-    head = same(a, b, most, lambda t, n: t[:n])
-    return head + same(a, b, most - head, lambda t, n: t[len(t) - n :])
+            tops[k], last[k] = x, i
+        before[i] = last[k - 1] if k else -1
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of places of equal digests, rising in both lists: the common head and tail,
+    and between them a longest rising run in which the k-th occurrence of a digest meets
+    the k-th."""
+    most, head, tail = min(len(a), len(b)), 0, 0
+    while head < most and a[head] == b[head]:
+        head += 1
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    pairs = [(i, i) for i in range(head)]
+    if head + tail < most:
+        where, times = {}, Counter()
+        for j in range(head, len(b) - tail):
+            where[b[j], times[b[j]]] = j
+            times[b[j]] += 1
+        met, times = [], Counter()
+        for i in range(head, len(a) - tail):
+            if (j := where.get((a[i], times[a[i]]))) is not None:
+                met.append((i, j))
+            times[a[i]] += 1
+        pairs += [met[k] for k in _rising([j for _, j in met])]
+    return pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _same(a: str, b: str, most: int, part) -> int:
+    low = 0
+    while low < most:
+        half = (low + most + 1) // 2
+        low, most = (half, most) if part(a, half) == part(b, half) else (low, half - 1)
+    return low
+
+
+def edits(a: "Tree", b: "Tree") -> list[tuple[int, int, int, int]]:
+    """What differs, in order: (start, end) in ``a`` that stands for (start, end) in ``b``."""
+    if a.root == b.root:
+        return []
+    out: list[tuple[int, int, int, int]] = []
+
+    def open_(xs: list, x: int, ys: list, y: int, level: int) -> None:
+        i = j = 0
+        for p, q in [*aligned([n[0] for n in xs], [n[0] for n in ys]), (len(xs), len(ys))]:
+            x_end, y_end = x + sum(n[1] for n in xs[i:p]), y + sum(n[1] for n in ys[j:q])
+            if x < x_end and y < y_end and level < 2:
+                open_([c for n in xs[i:p] for c in n[2]], x, [c for n in ys[j:q] for c in n[2]], y, level + 1)
+            elif x < x_end or y < y_end:
+                one, two = a.text[x:x_end], b.text[y:y_end]
+                most = min(len(one), len(two))
+                head = _same(one, two, most, lambda t, n: t[:n])
+                tail = _same(one, two, most - head, lambda t, n: t[len(t) - n :])
+                if len(one) + len(two) > 2 * (head + tail):
+                    out.append((x + head, x_end - tail, y + head, y_end - tail))
+            i, j = p + 1, q + 1
+            if p < len(xs):
+                x, y = x_end + xs[p][1], y_end + ys[q][1]
+
+    open_(a.sections, 0, b.sections, 0, 0)
+    return out
 
 
-def likeness(a: Tree, b: Tree) -> float:
+def likeness(a: "Tree", b: "Tree", found: list | None = None) -> float:
+    """0 to 1; found: the ``edits`` of the two, where they are known."""
     if a.root == b.root:
         return 1.0
     if not a.size or not b.size:
         return 0.0
-    total, left, right = _match(a.sections, b.sections)
-    for _ in range(2):
-        left, right = [c for x in left for c in x[2]], [c for x in right for c in x[2]]
-        shared, left, right = _match(left, right)
-        total += shared
-    return 2.0 * max(total, _ends(a.text, b.text)) / (a.size + b.size)
-
-
-def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Character spans of ``a``'s leaves in branches that ``b`` doesn't hold."""
-    have = [{s[0] for s in b.sections}, {p[0] for s in b.sections for p in s[2]}, {x[0] for s in b.sections for p in s[2] for x in p[2]}]
-    spans, at = [], 0
-    for s in a.sections:
-        if s[0] in have[0]:
-            at += s[1]
-            continue
-        for p in s[2]:
-            if p[0] in have[1]:
-                at += p[1]
-                continue
-            for digest, size in p[2]:
-                if digest not in have[2]:
-                    spans.append((at, at + size))
-                at += size
-    return spans
+    found = edits(a, b) if found is None else found
+    return 1.0 - sum(e - s + f - t for s, e, t, f in found) / (a.size + b.size)
 
 
 def edited(text: str, after: str) -> str:
@@ -188,54 +213,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<struct<start: long, length: long>>"
+_EDITS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_PAIR_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", _EDITS)])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, the neighbour range's copy last in each."""
-    names = [x.split()[0] for x in PAIR_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    """Rows sorted by range, the neighbour range's first document last in each."""
     before, at = None, None
     for whole in batches:
-        out: list[list] = [[] for _ in names]
-        for bucket, ghost, doc_id, text in zip(*(c.to_pylist() for c in whole.columns), strict=True):
-            if bucket != at:
-                before, at = None, bucket
-            elif ghost and before is None:
-                continue
+        out: list[list] = [[] for _ in _PAIR_ARROW]
+        for block, ghost, doc_id, text in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+            if block != at:
+                before, at = None, block
             text = text or ""
             tree = Tree(text)
             if before is not None:
                 old_id, old, old_tree = before
                 new = edited(old, text)
                 new_tree = Tree(new)
-                for column, value in zip(out, (old_id, len(old), sha256_hex(new.encode()), old_tree.root, new_tree.root, likeness(old_tree, new_tree), likeness(old_tree, tree)), strict=True):
+                found = edits(old_tree, new_tree)
+                spans = [{"start": s, "length": e - s} for s, e, _, _ in found]
+                for column, value in zip(out, (old_id, len(old), sha256_hex(new.encode()), old_tree.root, new_tree.root, likeness(old_tree, new_tree, found), likeness(old_tree, tree), spans), strict=True):
                     column.append(value)
             before = None if ghost else (doc_id, text, tree)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-
-
-def fingerprint_with_next(docs: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
-    """One row per row of ``docs``, as PAIR_SCHEMA."""
-    spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    src = docs.select(key.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = max(2, -(-text_bytes(docs) // range_bytes))
-    marks = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
-    bounds = np.array(sorted({int(x) for x in marks or []}), dtype=np.int64)
-
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy(), "right").astype(np.int64))
-
-    in_bucket = F.pandas_udf(bucket, "long")
-    first = {r[0]: r[1] for r in src.select("k").withColumn("bucket", in_bucket("k")).groupBy("bucket").agg(F.max("k")).collect()}
-    chain = sorted(first, reverse=True)
-    copies = [(first[after], b) for b, after in zip(chain, [*chain[1:], *chain[:1]], strict=True)]
-    ghosts = spark.createDataFrame(copies, "k long, to long")
-    home = F.struct(F.col("bucket"), F.lit(False).alias("ghost"))
-    away = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ghost"))
-    dealt = src.withColumn("bucket", in_bucket("k")).join(F.broadcast(ghosts), "k", "left")
-    dealt = dealt.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(home)).otherwise(F.array(home, away))))
-    rows = dealt.select(F.col("at.bucket").alias("bucket"), F.col("at.ghost").alias("ghost"), "doc_id", "text", "k").repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("k"), "text")
-    return rows.select("bucket", "ghost", "doc_id", "text").mapInArrow(_pairs, PAIR_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PAIR_ARROW, strict=True)], schema=_PAIR_ARROW)
+
+
+def fingerprint_with_next(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """One row per row of ``docs``, as PAIR_SCHEMA; edits: the spans of the document that
+    its edited text doesn't have."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = ranged(src, block_count(src, block_bytes)[1])  # a task streams its ranges
+    dealt = dealt.withColumn("k", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    # of each range the first document, for the range before it in descending doc_id
+    firsts = dealt.groupBy("block").agg(F.max(F.struct("k", "sha")).alias("top"))
+    later = Window.orderBy("block")  # a row a range
+    to = firsts.select("top", F.coalesce(F.lead("block").over(later), F.min("block").over(Window.partitionBy(F.lit(1)))).alias("to"))
+    # a row a range: they grow with the square root of the input (220,000 for 100 TB)
+    ghosts = dealt.join(F.broadcast(to.select(F.col("top.k").alias("k"), F.col("top.sha").alias("sha"), "to")), ["k", "sha"]).dropDuplicates(["to"])
+    rows = dealt.select("block", F.lit(False).alias("ghost"), "doc_id", "text", "k", "sha").unionByName(ghosts.select(F.col("to").alias("block"), F.lit(True).alias("ghost"), "doc_id", "text", "k", "sha"))
+    ordered = rows.repartition("block").sortWithinPartitions("block", "ghost", F.desc("k"), F.desc("sha"))
+    return ordered.select("block", "ghost", "doc_id", "text").mapInArrow(_pairs, PAIR_SCHEMA)
