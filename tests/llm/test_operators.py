@@ -15,7 +15,7 @@ from quadrille.llm.jaccard import ngram_jaccard
 from quadrille.llm.language_id import identify_language, keep_identified, learn
 from quadrille.llm.license_scan import LICENSES, license_scan
 from quadrille.llm.lm_score import lm_score, ngram_counts
-from quadrille.llm.merkle import Tree, differing, edited, fingerprint_with_next, likeness
+from quadrille.llm.merkle import Tree, aligned, edited, edits, fingerprint_with_next, likeness
 from quadrille.llm.mixing import mix_sources, schedule
 from quadrille.llm.pieces import Codec, Vocabulary, decode_pieces, encode_pieces
 from quadrille.llm.relative_lz import substring_dedup
@@ -128,6 +128,14 @@ def test_exact_dedup(odd, empty):
     assert keep_one(empty).count() == 0
 
 
+def test_exact_dedup_of_rows_without_ids(spark):
+    rows = [(None, "same text")] * 3000 + [(7, "same text")] * 1500 + [(i, "same text") for i in range(2000, 4500)] + [(None, None), (None, ""), (1, "other")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n_ranges=1 << 12).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert [(r.doc_id, r.group_size) for r in got if r.kept and r.group_size > 2] == [(4499, 7000)]
+    assert sum(r.kept for r in got) == 3 and {r.keep_id for r in got if r.group_size == 2} == {None}
+
+
 def test_substring_dedup(odd, empty):
     docs = sorted(pairs(odd), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
     seen, want = set(), Counter()
@@ -146,6 +154,31 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_licenses_however_wrapped(spark):
+    import textwrap
+
+    import duckdb
+
+    from quadrille.llm.queries import _op6
+
+    rows = []
+    for name, body in [x for x in LICENSES if "\n\n" not in x[1]]:
+        for width in (30, 47, 61, 80):
+            text = textwrap.fill(" ".join(body.split()), width)
+            rows.append((len(rows), "Copyright (c) 1999-2020, Some Body\nAll rights reserved.\n\n" + text, name))
+            rows.append((len(rows), "/*\n * Copyright Some Body\n * (c) 2001 Other\n" + textwrap.indent(text, " * ") + "\n */", name))
+    rows.append((len(rows), "Copyright notice without a licence", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r.doc_id: (r.digest, r.license_id) for r in license_scan(df).collect()}
+    # a line of prose that begins with the words of a copyright line can't be told from one
+    wrong = [i for i, _, want in rows if got[i][1] != want]
+    assert not wrong, [(rows[i][2], rows[i][1][:80]) for i in wrong[:3]]
+    con = duckdb.connect()
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM documents")
+    assert {i: (d, n) for i, d, n in con.execute(_op6()).fetchall()} == got
+
+
 def blocks_of(docs, block_bytes):
     """The words of each reference block, as the operator deals and orders them."""
     import pyarrow as pa
@@ -153,7 +186,7 @@ def blocks_of(docs, block_bytes):
     from quadrille.llm.exchange import block_count, in_order, ranged
 
     src = docs.select("doc_id", "text")
-    rows = ranged(src, block_count(src, block_bytes)).toArrow()
+    rows = ranged(src, block_count(src, block_bytes)[0]).toArrow()
     found = {}
     for b in set(rows["block"].to_pylist()):
         own = in_order(rows.filter(pa.compute.equal(rows["block"], b)))
@@ -227,6 +260,46 @@ def test_suffix_dedup(odd, empty):
     assert suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_long_runs_and_pieces(spark, monkeypatch):
+    import time
+
+    import numpy as np
+
+    import quadrille.llm.suffix_dedup as S
+    from quadrille.llm.textops import utf8_column
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefgh \n", k=n))
+    shared = noise(900)
+    texts = ["-" * 3000, "x" + "-" * 401 + "y", noise(300) + "-" * 400 + noise(300), "-" * 5000 + "=" * 700, shared + "-" * 2000 + shared, noise(50) + shared[:500] + "=" * 399, "ab" * 900]
+    counts = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+
+    def check():
+        got = {r.doc_id: bytes(r.kept) for r in S.suffix_dedup(docs).collect()}
+        for i, t in enumerate(texts):
+            gone = [False] * len(t)
+            for k in range(len(t) - 399):
+                if counts[t[k : k + 400]] > 1:
+                    gone[k : k + 400] = [True] * 400
+            assert got[i] == "".join(c for c, g in zip(t, gone, strict=True) if not g).encode(), i
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check()
+    data, offsets = utf8_column(docs.toArrow()["text"])
+    whole = S.segments(data, offsets, 400, 64)
+    monkeypatch.setattr(S, "byte_chunks", lambda offsets, most: ((i, i + 1) for i in range(len(offsets) - 1)))
+    monkeypatch.setattr(S, "_PIECE", 1000)
+    parts = S.segments(data, offsets, 400, 64)
+
+    def windows(found):
+        return Counter((int(k), int(f) + i) for k, f, n in zip(*found[:3], strict=True) for i in range(n))
+
+    assert windows(parts) == windows(whole) and len(parts[0]) > len(whole[0])
+    began = time.perf_counter()
+    assert S._sort_batch([b"-" * 2_000_000], np.array([2_000_000 - 399]), 400).all()
+    assert time.perf_counter() - began < 5
+
+
 def brute_path(vocabulary, text):
     """Best score over all segmentations of a blank-led text."""
     score = {p.replace("▁", " "): s for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)) if i not in vocabulary.special}
@@ -356,16 +429,42 @@ def test_language_models_are_distributions():
     assert p[1:].sum(axis=0) + np.exp(model.floor) == pytest.approx([1, 1], abs=0.25)
 
 
+def true_likeness_bounds(a, b, near):
+    """At most 1 for equal texts alone; at least what the common head gives, but for the
+    leaves around the edit; at most what the characters in common allow."""
+    if a == b:
+        return near == 1
+    if not a or not b:
+        return near == 0
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    common = sum((Counter(a) & Counter(b)).values())
+    least = 2 * max(0, head - 64) / (len(a) + len(b))
+    return least - 1e-9 <= near <= 2 * common / (len(a) + len(b)) + 1e-9 and near < 1
+
+
 def test_fingerprints(odd, empty):
-    docs = sorted(pairs(odd), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] is not None, r[1] or ""))
-    want = Counter()
+    rows = [*pairs(odd), *((None, f"no id {i}. " * i) for i in range(60))]
+    docs = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()), reverse=True)
+    want, near = Counter(), defaultdict(list)
     for j, (i, t) in enumerate(docs):
-        new = edited(t or "", docs[(j + 1) % len(docs)][1] or "")
+        after = docs[(j + 1) % len(docs)][1] or ""
+        new = edited(t or "", after)
         want[i, len(t or ""), hashlib.sha256(new.encode()).hexdigest(), Tree(t or "").root, Tree(new).root] += 1
+        near[i, hashlib.sha256(new.encode()).hexdigest()].append((t or "", new, after))
+    frame = odd.select("doc_id", "text").union(odd.sparkSession.createDataFrame(rows[-60:], "doc_id long, text string"))
     for size in (5_000, 10**9):
-        got = fingerprint_with_next(odd, range_bytes=size).collect()
+        got = fingerprint_with_next(frame, block_bytes=size).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        for r in got:
+            t, new, after = near[r.doc_id, r.edited_sha256][0]
+            assert true_likeness_bounds(t, new, r.near_edited) and true_likeness_bounds(t, after, r.near_next)
+            spans = [(x.start, x.start + x.length) for x in r.edits]
+            assert spans == sorted(spans) and all(e <= s for (_, e), (s, _) in zip(spans, spans[1:], strict=False))
+            # what lies outside the edits is in the edited text, in order
+            at = 0
+            for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True):
+                assert (at := new.find(t[a:b], at)) >= 0
+                at += b - a
     assert fingerprint_with_next(empty).count() == 0
     assert fingerprint_with_next(odd.limit(1)).count() == 1
 
@@ -384,8 +483,39 @@ def test_trees():
     b = a.replace("Two here", "Two there")
     assert Tree(a).root == Tree(a).root != Tree(b).root
     assert likeness(Tree(a), Tree(a)) == 1 and 0.9 < likeness(Tree(a), Tree(b)) < 1 and likeness(Tree(a), Tree("")) == 0 and likeness(Tree(""), Tree("")) == 1
-    (s, e), *more = differing(Tree(a), Tree(b))
-    assert "Two here" in a[s:e] and not more
+    (s, e, t, f), *more = edits(Tree(a), Tree(b))
+    assert a[:s] + b[t:f] + a[e:] == b and e - s <= 2 and f - t <= 2 and not more
+
+
+def test_trees_in_order():
+    one, two = "First paragraph. It is here.\n", "Second one. It is there.\n"
+    a, b = Tree(one * 3 + two), Tree(two + one * 3)
+    assert a.root != b.root and 0.5 < likeness(a, b) < 1
+    assert likeness(Tree("abcdefghijklmnop"), Tree("abcdefghijkzzzzz")) == 2 * 11 / 32
+
+
+def test_alignment_is_a_common_rising_run():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([bytes([rng.randrange(6)]) for _ in range(rng.randrange(14))] for _ in range(2))
+        met = aligned(a, b)
+        assert all(a[i] == b[j] for i, j in met) and all(x < y and v < w for (x, v), (y, w) in zip(met, met[1:], strict=False))
+    a = [bytes([x]) for x in rng.sample(range(200), 100)]
+    b = rng.sample(a, 100)
+    assert len(aligned(a, b)) == max_rising([a.index(x) for x in b])
+
+
+def max_rising(places):
+    best = []
+    for i, x in enumerate(places):
+        best.append(1 + max((best[j] for j in range(i) if places[j] < x), default=0))
+    return max(best)
+
+
+def test_near_edited_of_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = fingerprint_with_next(docs).collect()
+    assert len(rows) == docs.count() and min(r.near_edited for r in rows if r.n_chars > 2) > 0.3
 
 
 @pytest.mark.parametrize("text", ["abc " * 1500, "x" * 6000, "".join(map(str, range(1500))), "?" * 6000], ids=["one word", "one letter", "no blank", "marks"])
@@ -415,6 +545,10 @@ def test_mixing(spark, odd, empty):
         sizes = Counter(r.block for r in rows if r.source == s)
         assert all(sizes[b] == 4 for b in sorted(sizes)[:-1])
     assert mix_sources(empty).count() == 0
+    twice = [{(r.doc_id, r.source): r.mix_position for r in mix_sources(odd.repartition(n)).where("doc_id is not null and doc_id <> 3").collect()} for n in (3, 7)]
+    assert twice[0] == twice[1]
+    alone = mix_sources(odd.drop("text"), digits=1).collect()
+    assert len({r.mix_position for r in alone}) == odd.count()
     assert "Python" not in mix_sources(odd)._jdf.queryExecution().toString()
 
 
