@@ -13,6 +13,9 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 # The datatypes that compare as numbers.
 NUMERIC = [XSD + x for x in ("integer", "decimal", "float", "double", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")]
+# Those that are integers.
+WHOLE = [x for x in NUMERIC if x.rpartition("#")[2] not in ("decimal", "float", "double")]
+_ZONE = r"(Z|[+-]\d\d:\d\d)$"
 _BODY = r'(?s)^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$'
 
 
@@ -76,8 +79,43 @@ def any_number(term: Column) -> Column:
     return F.when(is_literal(term), lexical(term).try_cast("double"))
 
 
+def zone(lex: Column) -> Column:
+    """Z, an offset, or an empty string."""
+    return F.regexp_extract(lex, _ZONE, 1)
+
+
+def local_time(lex: Column) -> Column:
+    """What a date and time says, whatever its zone."""
+    return F.regexp_replace(lex, _ZONE, "").try_cast("timestamp_ntz")
+
+
+def universal_time(lex: Column) -> Column:
+    """A date and time in UTC; one without a zone counts as UTC."""
+    at = zone(lex)
+    hours, minutes = F.substring(at, 2, 2).try_cast("int"), F.substring(at, 5, 2).try_cast("int")
+    offset = F.make_dt_interval(F.lit(0), hours, minutes, F.lit(0))
+    local = local_time(lex)
+    return F.when(at.startswith("+"), local - offset).when(at.startswith("-"), local + offset).otherwise(local)
+
+
+def _moment(term: Column, of) -> Column:
+    return F.when(datatype(term).isin(XSD + "dateTime", XSD + "date"), of(lexical(term)))
+
+
 def timestamp(term: Column) -> Column:
-    return F.when(datatype(term).isin(XSD + "dateTime", XSD + "date"), F.regexp_replace(lexical(term), r"(Z|[+-]\d\d:\d\d)$", "").try_cast("timestamp_ntz"))
+    """Value of a dateTime or date in UTC, by which they compare."""
+    return _moment(term, universal_time)
+
+
+def local_timestamp(term: Column) -> Column:
+    """Value of a dateTime or date in its own zone, whose parts functions give."""
+    return _moment(term, local_time)
+
+
+def with_tag_of(term: Column, text: Column) -> Column:
+    """A string literal of ``text`` with the language tag of ``term``, if it has one."""
+    tag = language(term)
+    return F.concat(F.lit('"'), escape(text), F.lit('"'), F.when(tag != "", F.concat(F.lit("@"), tag)).otherwise(F.lit("")))
 
 
 def boolean(term: Column) -> Column:

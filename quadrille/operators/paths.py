@@ -1,13 +1,18 @@
 """Path operators over an edge frame (s, p, o): frontier joins, one shuffle or two a round.
 
 Each round joins the frontier with the edges, keeps the least path to each newly reached
-(source, node) and drops what was visited. Rounds are checkpointed, so a lost executor
-costs one round; nothing but counts reaches the driver. A path is an array of terms
-[node, predicate, node, ...]; among shortest paths the least array is taken.
+(root, node) and drops what was visited. A search starts from the side of the pairs that has
+fewer nodes - a constant end is one - and a root is left as soon as all its pairs are found.
+Lengths and booleans carry no paths. Each round is checkpointed on its own, so a lost
+executor costs one round and nothing is written twice; nothing but counts reaches the driver.
+A path is an array of terms [node, predicate, node, ...]; among shortest paths the least
+array is taken.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +24,64 @@ def both_ways(edges: DataFrame, directed: bool) -> DataFrame:
     return edges if directed else edges.union(edges.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))).distinct()
 
 
-def reached(sources: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
-    """src, node, depth, path of every node reached from ``sources`` (column src) by one hop
-    or more, and by none: the source itself at depth 0."""
-    front = cut(sources.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(0).alias("depth"), F.array("src").alias("path")))
-    seen, depth = front, 0
-    while k is None or depth < k:
+def _any(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def shortest(pairs: DataFrame, edges: DataFrame, k: int | None = None, paths: bool = True) -> DataFrame:
+    """src, dst, depth (and path) of the pairs that are connected, in k hops at most; a pair
+    of one node has depth 0."""
+    pairs = cut(pairs.distinct())
+    sizes = pairs.agg(F.count_distinct("src"), F.count_distinct("dst")).first()
+    ahead = sizes[0] <= sizes[1]
+    root, goal, near, far = ("src", "dst", "s", "o") if ahead else ("dst", "src", "o", "s")
+    left = pairs.select(F.col(root).alias("root"), F.col(goal).alias("goal"))
+    links = edges.select(F.col(near).alias("node"), F.col(far).alias("to"), "p")
+    if not paths:
+        links = links.select("node", "to").distinct()
+    keep = ["root", "node", *(["path"] if paths else [])]
+    front = cut(left.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")).select(keep))
+    rounds, found, depth = [front], [], 0
+    while True:
+        met = cut(left.join(front.withColumnRenamed("node", "goal"), ["root", "goal"]).withColumn("depth", F.lit(depth)))
+        if not met.isEmpty():
+            found.append(met)
+            left = cut(left.join(met, ["root", "goal"], "left_anti"))
+            if left.isEmpty():
+                break
+        if depth == k:
+            break
         depth += 1
-        step = front.join(edges, front.node == edges.s).select("src", F.col("o").alias("node"), F.concat("path", F.array("p", "o")).alias("path"))
-        fresh = step.groupBy("src", "node").agg(F.min("path").alias("path")).join(seen.select("src", "node"), ["src", "node"], "left_anti")
-        front = cut(fresh.select("src", "node", F.lit(depth).alias("depth"), "path"))
+        live = front.join(left.select("root").distinct(), "root", "left_semi") if found else front
+        step = live.join(links, "node")
+        if paths:
+            way = F.concat("path", F.array("p", "to")) if ahead else F.concat(F.array("to", "p"), "path")
+            fresh = step.select("root", F.col("to").alias("node"), way.alias("path")).groupBy("root", "node").agg(F.min("path").alias("path"))
+        else:
+            fresh = step.select("root", F.col("to").alias("node")).distinct()
+        front = cut(fresh.join(_any([r.select("root", "node") for r in rounds]), ["root", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
-
+        rounds.append(front)
+    got = _any(found) if found else met
+    return got.withColumnsRenamed({"root": root, "goal": goal})
 
-def shortest(pairs: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
-    """src, dst, depth, path of the pairs that are connected."""
-    far = reached(pairs, edges, k)
-    return pairs.distinct().join(far.withColumnRenamed("node", "dst"), ["src", "dst"])
 
-
-def cycles(pairs: DataFrame, edges: DataFrame, directed: bool) -> DataFrame:
-    """src, dst, path there and back; a pair of one node has none."""
+def cycles(pairs: DataFrame, edges: DataFrame, directed: bool, paths: bool = True) -> DataFrame:
+    """src, dst (and path there and back); a pair of one node has none."""
     pairs = pairs.where("src <> dst").distinct()
-    there = shortest(pairs, edges).select("src", "dst", "path")
-    back = there if not directed else shortest(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), edges).select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("path").alias("back"))
-    if not directed:
+    there = shortest(pairs, edges, None, paths)
+    if not paths:
+        there = there.select("src", "dst")
+        if not directed:
+            return there
+        back = shortest(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")), edges, None, False)
+        return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    there = there.select("src", "dst", "path")
+    if directed:
+        back = shortest(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")), edges)
+        back = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("path").alias("back"))
+    else:
         back = there.select("src", "dst", F.reverse("path").alias("back"))
     return there.join(back, ["src", "dst"]).select("src", "dst", F.concat("path", F.slice("back", F.lit(2), F.size("back"))).alias("path"))
 
@@ -101,36 +136,33 @@ def path_call(name: str, pairs: DataFrame, edges: DataFrame, directed: bool, k:
     """src, dst, value of a call for each pair, and the value's kind. Booleans and lengths
     of unconnected pairs are absent (false and null after a left join)."""
     edges = both_ways(edges, directed)
-    text = F.array_join("path", " ").alias("value")
+    bound = k if k is not None and k >= 0 else None
     if name in ("cyclepath", "cycleboolean"):
-        got = cycles(pairs, edges, directed)
+        got = cycles(pairs, edges, directed, name == "cyclepath")
     elif name in ("simplecyclepath", "simplecycleboolean"):
-        got = simple_cycles(pairs, edges, k if k is not None and k >= 0 else None)
+        got = simple_cycles(pairs, edges, bound)
     elif name == "khopenumerate":
-        got = walks(pairs, edges, k if k is not None and k >= 0 else None)
-    elif name == "khopreachable":
-        got = shortest(pairs, edges, k if k is not None and k >= 0 else None)
+        got = walks(pairs, edges, bound)
     else:
-        got = shortest(pairs, edges)
+        got = shortest(pairs, edges, bound if name == "khopreachable" else None, name == "shortestpath")
     if name == "shortestpathlen":
         return got.select("src", "dst", F.col("depth").cast("long").alias("value")), "int"
     if name in ("cycleboolean", "simplecycleboolean", "khopreachable"):
         return got.select("src", "dst", F.lit(True).alias("value")), "bool"
-    return got.select("src", "dst", text), "str"
+    return got.select("src", "dst", F.array_join("path", " ").alias("value")), "str"
 
 
 def closure(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """s, o connected by one or more of ``pairs`` (s, o); only from the nodes ``start`` (n)."""
     pairs = cut(pairs.distinct())
-    front = pairs if start is None else pairs.join(start, pairs.s == start.n, "left_semi")
-    front = cut(front)
-    seen = front
+    front = pairs if start is None else cut(pairs.join(start, pairs.s == start.n, "left_semi"))
+    rounds = [front]
     while True:
-        step = front.select(F.col("s"), F.col("o").alias("mid")).join(pairs.select(F.col("s").alias("mid"), "o"), "mid").select("s", "o").distinct()
-        front = cut(step.join(seen, ["s", "o"], "left_anti"))
+        step = front.select("s", F.col("o").alias("mid")).join(pairs.select(F.col("s").alias("mid"), "o"), "mid").select("s", "o").distinct()
+        front = cut(step.join(_any(rounds), ["s", "o"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
+            return _any(rounds)
+        rounds.append(front)
 
 
 def hop_stats(edges: DataFrame, numbers: DataFrame, hops: int = 2) -> DataFrame:

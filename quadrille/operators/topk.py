@@ -1,11 +1,13 @@
 """Top-k subgraph matching: ORDER BY a linear score, LIMIT k.
 
-Sorting all matches is always right. Where a leaf of the pattern - a scan joined through one
-variable that is not its own subject - holds scored variables, only its best k rows for
-each value of that variable can be in a global top k, so ``pruned`` cuts them with
-row_number <= k before the join (Spark turns that into WindowGroupLimit, which also cuts
-before the shuffle). Leaves reached through their subject are N:1 and gain nothing. The score
-adds up over the leaves and ties break by all variables, in one order at every level.
+Sorting all matches is always right. ``pruned`` cuts before the joins, bottom up: a part of
+the pattern that shares one variable with the rest can only bring its best k rows for each
+value of that variable into a global top k, so it is cut with row_number <= k (Spark turns
+that into WindowGroupLimit, which also cuts before the shuffle) and joined to a neighbour.
+The two are one part from there on, and are cut again in turn, until one part is left - the
+root - or a cycle, whose parts are joined whole. Parts of many rows a value go first, so
+the root is one that the others refer to; a part that has one row a value gains nothing
+and isn't cut. The score adds up over the parts, and ties break in one order at every level.
 Values that are no numbers drop out of a scored match.
 """
 
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
 from quadrille.plans import syntax as S
-from quadrille.plans.relation import Binding, Relation, fresh
+from quadrille.plans.relation import Binding, Relation, fresh, join
 from quadrille.sources.graph import connected
 
 #: Accepted method names, and whether leaves are pruned. All give the same answer.
-METHODS = {"Naive": False} | dict.fromkeys(("PTAB", "DP-B", "DP-P", "kTPM", "DFS-OLD", "Take-all", "Take2", "Eager", "SAE"), True)
+METHODS = {"Naive": False} | dict.fromkeys(("PTAB", "DP-B", "DP-P", "DPBany", "kTPM", "DFS-OLD", "Take-all", "Take2", "Eager", "SAE"), True)
 
 
 @dataclass
@@ -79,32 +81,45 @@ def pruned(compiler, q: S.Query) -> Relation | None:
     parts = compiler.graph.scans([_plain(t) for t in triples])
     sign = -1.0 if q.order_by[0][1] else 1.0
     k = q.limit + q.offset
-    subjects = {v.name for v in (t.s for t in triples) if isinstance(v, S.Var)}
     for test in tests:
         names = {x.name for x in _walk(test) if isinstance(x, S.Var)}
         home = next((i for i, r in enumerate(parts) if names <= set(r.vars)), None)
         if home is None or any(isinstance(x, (S.Exists, S.PathCall)) for x in _walk(test)):
             return None
-        parts[home] = Relation(parts[home].df.where(truth(evaluate(test, parts[home].vars, {}))), parts[home].vars)
-    ties = [v for r in parts for v in r.vars]
+        parts[home] = Relation(parts[home].df.where(truth(evaluate(test, parts[home].vars, {}))), parts[home].vars, parts[home].key)
     for i, r in enumerate(parts):
-        own = [v for v in score.weights if v in r.vars]
-        for v in own:
-            r = Relation(r.df.where(_value(r.vars[v]).isNotNull()), r.vars)
-        others = {v for j, x in enumerate(parts) if j != i for v in x.vars}
-        shared = [v for v in r.vars if v in others]
-        # each variable of the score counts in one part only, else the sum is not of parts
-        alone = own and not any(v in others for v in own)
-        subject = any(isinstance(t.s, S.Var) and t.s.name == shared[0] and isinstance(t.o, S.Var) and t.o.name in r.vars for t in triples) if shared else True
-        if alone and len(shared) == 1 and not (subject and shared[0] in subjects) and len(q.order_by) == 1 + sum(isinstance(e, S.Var) for e, _ in q.order_by[1:]):
-            part = sum((_value(r.vars[v]) * (score.weights[v] * sign) for v in own), F.lit(0.0))
-            rest = [F.col(r.vars[e.name].col).desc_nulls_last() if down else F.col(r.vars[e.name].col).asc_nulls_first() for e, down in q.order_by[1:] if e.name in r.vars]
-            tie = [F.col(r.vars[v].col) for v in dict.fromkeys(ties) if v in r.vars and v != shared[0]]
-            rank, score_col = fresh(), fresh()
-            by = Window.partitionBy(r.vars[shared[0]].col).orderBy(score_col, *rest, *tie)
-            df = r.df.withColumn(score_col, part).withColumn(rank, F.row_number().over(by)).where(F.col(rank) <= k)
-            r = Relation(df.select(*[b.col for b in r.vars.values()]), r.vars)
-        parts[i] = r
+        df = r.df
+        for v in score.weights:
+            if v in r.vars:
+                df = df.where(_value(r.vars[v]).isNotNull())
+        parts[i] = Relation(df, r.vars, r.key)
+    if not all(isinstance(e, S.Var) for e, _ in q.order_by[1:]):
+        return connected(parts)
+
+    def best(r: Relation, v: str) -> Relation:
+        """The best k rows for each value of v."""
+        part = sum((_value(r.vars[x]) * (w * sign) for x, w in score.weights.items() if x in r.vars and x != v), F.lit(0.0))
+        rest = [F.col(r.vars[e.name].col).desc_nulls_last() if down else F.col(r.vars[e.name].col).asc_nulls_first() for e, down in q.order_by[1:] if e.name in r.vars]
+        tie = [F.col(b.col) for x, b in r.vars.items() if x != v]
+        rank, partial = fresh(), fresh()
+        by = Window.partitionBy(r.vars[v].col).orderBy(partial, *rest, *tie)
+        df = r.df.withColumn(partial, part).withColumn(rank, F.row_number().over(by)).where(F.col(rank) <= k)
+        return Relation(df.select(*[b.col for b in r.vars.values()]), r.vars)
+
+    while len(parts) > 1:
+        hung = []  # parts that share one variable with the rest, those of many rows a value first
+        for i, r in enumerate(parts):
+            shared = [v for v in r.vars if any(v in x.vars for x in parts if x is not r)]
+            if len(shared) == 1:
+                hung.append((r.key == shared[0], i, shared[0]))
+        if not hung:
+            break
+        single, i, v = min(hung)
+        leaf = parts.pop(i)
+        to = min((j for j, x in enumerate(parts) if v in x.vars), key=lambda j: parts[j].key != v)
+        joined = join(parts[to], leaf if single else best(leaf, v))
+        joined.key = parts[to].key if single else None
+        parts[to] = joined
     return connected(parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from quadrille.functions.terms import RDF_TYPE, XSD
 
-PREFIXES = {"": "http://ex/"}
+PREFIXES = {"": "http://ex/", "xsd": XSD}
 _O, _C, _N, _R, _S, _P, _E = (f"'http://ex/{t}/' || " for t in ("orders", "customer", "nation", "region", "supplier", "part", "events"))
 _INT, _DOUBLE = XSD + "integer", XSD + "double"
 
@@ -177,8 +177,8 @@ QUERIES: dict[str, tuple[str, str]] = {
     "prop_opt": _q("SELECT ?x WHERE { <http://ex/nation/3> :region? ?x }", "SELECT '<http://ex/nation/3>' AS x UNION ALL SELECT '<http://ex/region/' || n_regionkey || '>' FROM nation WHERE n_nationkey = 3"),
     "prop_neg": _q(f"SELECT ?x WHERE {{ <http://ex/nation/3> !(:region|<{RDF_TYPE}>) ?x }}", "SELECT '\"' || n_name || '\"' AS x FROM nation WHERE n_nationkey = 3"),
     "shortest_path": _q(
-        "SELECT ?c (shortestPath(?c, <http://ex/region/1>, true, {:nation, :region}) AS ?v) WHERE { ?c a :Customer FILTER(?c = <http://ex/customer/1> || ?c = <http://ex/customer/2> || ?c = <http://ex/customer/3>) }",
-        "SELECT '<http://ex/customer/' || c_custkey || '>' AS c, CASE WHEN n_regionkey = 1 THEN '<http://ex/customer/' || c_custkey || '> <http://ex/nation> <http://ex/nation/' || c_nationkey || '> <http://ex/region> <http://ex/region/1>' END AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (1, 2, 3)",
+        "SELECT ?c (shortestPath(?c, <http://ex/region/1>, true, {:nation, :region}) AS ?v) WHERE { ?c a :Customer }",
+        "SELECT '<http://ex/customer/' || c_custkey || '>' AS c, CASE WHEN n_regionkey = 1 THEN '<http://ex/customer/' || c_custkey || '> <http://ex/nation> <http://ex/nation/' || c_nationkey || '> <http://ex/region> <http://ex/region/1>' END AS v FROM customer JOIN nation ON c_nationkey = n_nationkey",
     ),
     "shortest_path_len": _q("SELECT ?c (shortestPathLen(?c, <http://ex/region/1>, true, {:nation, :region}) AS ?v) WHERE { ?c a :Customer }", "SELECT '<http://ex/customer/' || c_custkey || '>' AS c, CASE WHEN n_regionkey = 1 THEN CAST(2 AS BIGINT) END AS v FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "khop_reachable": _q("SELECT ?a (kHopReachable(?a, <http://ex/nation/3>, false, 2, {:region}) AS ?v) WHERE { ?a a :Nation }", "SELECT '<http://ex/nation/' || a.n_nationkey || '>' AS a, a.n_regionkey = b.n_regionkey AS v FROM nation a, nation b WHERE b.n_nationkey = 3"),
@@ -203,6 +203,91 @@ QUERIES: dict[str, tuple[str, str]] = {
 }
 
 
+# -- variables that may be unbound
+QUERIES |= {
+    "optional_chain": _q(
+        "SELECT ?o ?s ?b WHERE { ?o a :Order ; :status \"P\" OPTIONAL { ?l :order ?o ; :supplier ?s } OPTIONAL { ?s a :Supplier ; :acctbal ?b } }",
+        f"SELECT {_O} o_orderkey AS o, {_S} s_suppkey AS s, s_acctbal AS b FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey OR l_suppkey IS NULL WHERE o_orderstatus = 'P'",
+    ),
+    "optional_unbound_filter": _q(
+        "SELECT ?d ?x WHERE { ?d a :Document OPTIONAL { ?d :quality ?q } OPTIONAL { ?x :vecLabel ?q . FILTER(?x = <http://ex/embeddings/7> || ?x = <http://ex/embeddings/8>) } }",
+        "SELECT 'http://ex/documents/' || d.doc_id AS d, 'http://ex/embeddings/' || vec_id AS x FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT * FROM embeddings WHERE vec_id IN (7, 8)) e ON label = quality OR quality IS NULL",
+    ),
+    "minus_unbound": _q(
+        "SELECT ?c ?p WHERE { ?c a :Customer OPTIONAL { ?o :customer ?c ; :status \"P\" ; :priority ?p } MINUS { ?x a :Order ; :priority ?p ; :totalPrice ?t FILTER(?t > 497000) } }",
+        f"SELECT {_C} c_custkey AS c, o_orderpriority AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 497000)",
+    ),
+    "exists_unbound": _q(
+        "SELECT ?c ?p WHERE { ?c a :Customer OPTIONAL { ?o :customer ?c ; :status \"P\" ; :priority ?p } FILTER EXISTS { ?x a :Order ; :priority ?p ; :totalPrice ?t FILTER(?t > 497000) } }",
+        f"SELECT {_C} c_custkey AS c, o_orderpriority AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE EXISTS (SELECT 1 FROM orders x WHERE x.o_totalprice > 497000 AND (x.o_orderpriority = orders.o_orderpriority OR orders.o_orderpriority IS NULL))",
+    ),
+    "not_exists_unbound": _q(
+        "SELECT ?c ?p WHERE { ?c a :Customer OPTIONAL { ?o :customer ?c ; :status \"P\" ; :priority ?p } FILTER NOT EXISTS { ?x a :Part ; :size 0 . ?y :priority ?p } }",
+        f"SELECT {_C} c_custkey AS c, o_orderpriority AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'",
+    ),
+    "exists_twice": _q(
+        "SELECT ?c WHERE { ?c a :Customer ; :nation ?n FILTER(EXISTS { ?o :customer ?c ; :status \"P\" } || !EXISTS { ?s a :Supplier ; :nation ?n }) }",
+        f"SELECT {_C} c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') OR NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)",
+    ),
+    "exists_projected": _q(
+        "SELECT ?c ?v WHERE { ?c a :Customer ; :acctbal ?b BIND(EXISTS { ?o :customer ?c ; :totalPrice ?t FILTER(?t > 45 * ?b) } AS ?v) }",
+        f"SELECT {_C} c_custkey AS c, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 45 * c_acctbal) AS v FROM customer",
+    ),
+}
+_EAST = 'IF(?z > 25, "2011-01-10T14:45:13.25-05:30", "2011-01-10T14:45:13Z")'
+# -- functions whose values differ by row
+QUERIES |= {
+    "f_substr_below_one": _function("substr(?n, 0, ?z / 10)", "CASE WHEN round(p_size / 10.0) > 1 THEN substr(p_name, 1, CAST(floor(p_size / 10.0 + 0.5) AS INT) - 1) ELSE '' END"),
+    "f_substr_negative": _function("substr(?n, ?z - 30)", "substr(p_name, greatest(p_size - 30, 1))"),
+    "f_sha1": _function("sha1(?n)", "sha1(p_name)"),
+    "f_seconds": _function(f"seconds(strdt({_EAST}, xsd:dateTime))", "CAST(CASE WHEN p_size > 25 THEN 13.25 ELSE 13.0 END AS DOUBLE)"),
+    "f_hours_in_zone": _function(f"hours(strdt({_EAST}, xsd:dateTime))", "CAST(14 AS BIGINT)"),
+    "f_tz": _function(f"tz(strdt({_EAST}, xsd:dateTime))", "CASE WHEN p_size > 25 THEN '-05:30' ELSE 'Z' END"),
+    "f_timezone": _function(f"str(timezone(strdt({_EAST}, xsd:dateTime)))", "CASE WHEN p_size > 25 THEN '-PT5H30M' ELSE 'PT0S' END"),
+    "f_zones_equal": _function(f"strdt({_EAST}, xsd:dateTime) = \"2011-01-10T20:15:13.25Z\"^^xsd:dateTime", "p_size > 25"),
+    "f_zone_order": _filter('?d < "1996-01-01T00:00:00+02:00"^^xsd:dateTime', "o_orderdate < TIMESTAMP '1995-12-31 22:00:00'"),
+    "f_cast_boolean": _function("xsd:boolean(?z - 25)", "p_size <> 25"),
+    "f_cast_boolean_text": _function('xsd:boolean(IF(?z > 25, "true", IF(?z > 10, "0", "maybe")))', "CASE WHEN p_size > 25 THEN true WHEN p_size > 10 THEN false END"),
+    "f_cast_date": _q("SELECT ?o (str(xsd:date(?d)) AS ?v) WHERE { ?o :orderDate ?d }", f"SELECT {_O} o_orderkey AS o, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders"),
+    "f_cast_datetime": _filter('?d >= xsd:dateTime("1997-03-04T05:06:07")', "o_orderdate >= TIMESTAMP '1997-03-04 05:06:07'"),
+    "f_tags_kept": _function('IF(lang(ucase(strlang(?n, IF(?z > 25, "en", "de")))) = "en", lcase(strlang(?n, "x")), "none")', "CASE WHEN p_size > 25 THEN lower(p_name) ELSE 'none' END"),
+    "f_concat_tags": _function('lang(concat(strlang(?n, "en"), strlang(?n, IF(?z > 25, "en", "de"))))', "CASE WHEN p_size > 25 THEN 'en' ELSE '' END"),
+    "f_custom": _function("<http://ex/fn/halved>(?r)", "p_retailprice / 2"),
+    "f_struuid": _q("SELECT (COUNT(DISTINCT ?u) AS ?n) WHERE { { SELECT (struuid() AS ?u) WHERE { ?p a :Part } } }", "SELECT count(*) AS n FROM part"),
+    "f_uuid": _q('SELECT (COUNT(*) AS ?n) WHERE { ?p a :Part BIND(uuid() AS ?u) FILTER(strstarts(str(?u), "urn:uuid:") && strlen(str(?u)) = 45) }', "SELECT count(*) AS n FROM part"),
+    "f_bnode": _q("SELECT (COUNT(DISTINCT ?u) AS ?n) WHERE { ?p a :Part ; :size ?z BIND(bnode(str(?z)) AS ?u) FILTER(isBlank(?u)) }", "SELECT count(DISTINCT p_size) AS n FROM part"),
+    "f_rand": _q("SELECT (COUNT(*) AS ?n) WHERE { ?p a :Part BIND(rand() AS ?u) FILTER(?u >= 0 && ?u < 1) }", "SELECT count(*) AS n FROM part"),
+    "f_now": _q('SELECT (COUNT(*) AS ?n) WHERE { ?p a :Part FILTER(now() > "2020-01-01T00:00:00"^^xsd:dateTime) }', "SELECT count(*) AS n FROM part"),
+    "f_isblank_some": _function("isBlank(IF(?z > 25, bnode(?n), ?p))", "p_size > 25"),
+    "f_isliteral_some": _function("isLiteral(IF(?z > 25, ?n, ?p))", "p_size > 25"),
+    "f_isnumeric_some": _function("isNumeric(IF(?z > 25, ?n, ?z))", "p_size <= 25"),
+    "f_langmatches_some": _function('langMatches(lang(strlang(?n, IF(?z > 25, "en-GB", "de"))), "en")', "p_size > 25"),
+}
+# -- chains of turns
+QUERIES |= {
+    "chain_length": _q("SELECT ?b (shortestPathLen(?a, ?b, true, {:next}) AS ?v) WHERE { ?a a :Turn ; :turn 0 ; :conv ?c . ?b :conv ?c }", "SELECT 'http://ex/conversations/' || conv_id || '-' || turn AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS v FROM conversations"),
+    "chain_reachable": _q("SELECT ?b (kHopReachable(?a, ?b, true, 3, {:next}) AS ?v) WHERE { ?a a :Turn ; :turn 0 ; :conv ?c . ?b :conv ?c }", "SELECT 'http://ex/conversations/' || conv_id || '-' || turn AS b, turn <= 3 AS v FROM conversations"),
+    "chain_backwards": _q("SELECT ?b (shortestPathLen(?b, ?a, false, {:next}) AS ?v) WHERE { ?a a :Turn ; :turn 0 ; :conv ?c . ?b :conv ?c }", "SELECT 'http://ex/conversations/' || conv_id || '-' || turn AS b, turn AS v FROM conversations"),
+    "chain_closure": _q("SELECT (COUNT(*) AS ?n) WHERE { ?a :next+ ?b }", "SELECT CAST(sum(k * (k - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM conversations GROUP BY conv_id)"),
+}
+# -- top-k over longer patterns
+QUERIES |= {
+    "topk_long_chain": _q(
+        "SELECT ?n ?c ?o ?e ?t WHERE { ?l :order ?o ; :extendedPrice ?e . ?o :customer ?c ; :totalPrice ?t . ?c a :Customer ; :nation ?n ; :acctbal ?b } ORDER BY DESC(2 * ?e + ?t + ?b) ?n ?c ?o ?e LIMIT 15",
+        f"SELECT {_N} c_nationkey AS n, {_C} c_custkey AS c, {_O} o_orderkey AS o, l_extendedprice AS e, o_totalprice AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey ORDER BY 2 * l_extendedprice + o_totalprice + c_acctbal DESC, n, c, o, e LIMIT 15",
+    ),
+    "topk_two_arms": _q(
+        "SELECT ?n ?a ?b WHERE { ?n a :Nation . ?c a :Customer ; :nation ?n ; :acctbal ?a . ?s a :Supplier ; :nation ?n ; :acctbal ?b } ORDER BY ?a - ?b ?n ?a LIMIT 12",
+        f"SELECT {_N} n_nationkey AS n, c_acctbal AS a, s_acctbal AS b FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey ORDER BY c_acctbal - s_acctbal, n, a LIMIT 12",
+    ),
+}
+# -- descriptions
+QUERIES["describe"] = _q(
+    "DESCRIBE <http://ex/nation/3>",
+    f"SELECT * FROM ({_NATION_TERMS}) WHERE s = '<http://ex/nation/3>' UNION ALL SELECT '<http://ex/customer/' || c_custkey || '>', '<http://ex/nation>', '<http://ex/nation/3>' FROM customer WHERE c_nationkey = 3 UNION ALL SELECT '<http://ex/supplier/' || s_suppkey || '>', '<http://ex/nation>', '<http://ex/nation/3>' FROM supplier WHERE s_nationkey = 3",
+)
+
+
 def _texts(sql: str, columns: list[str], others: list[str]) -> str:
     """The columns' terms as texts: without brackets or quotes."""
     return "SELECT " + ", ".join([f"trim({c}, '<>\"') AS {c}" for c in columns] + others) + f" FROM ({sql})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _walk(e):
         yield from _walk(x)
 
 
+def _all_equal(pairs: list[tuple[str, str]]):
+    """Columns equal, or null together."""
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
+
+
 def _variables(e) -> set[str]:
     return {x.name for x in _walk(e) if isinstance(x, S.Var)}
 
@@ -130,19 +137,34 @@ class Compiler:
     def prepared(self, rel: Relation, exprs: list) -> tuple[Relation, dict[int, Value]]:
         """Path calls and EXISTS within expressions as columns of the relation."""
         special: dict[int, Value] = {}
-        for e in exprs:
-            for x in _walk(e):
-                if isinstance(x, S.PathCall):
-                    rel, special[id(x)] = self.path_value(rel, x)
-                elif isinstance(x, S.Exists):
-                    flag, key = fresh(), fresh()
-                    marked = Relation(rel.df.withColumn(key, F.monotonically_increasing_id()), rel.vars)
-                    hit = exists(marked, self.group(x.group), False).df.select(F.col(key).alias(key + "x"), F.lit(True).alias(flag))
-                    both = marked.df.join(hit, F.col(key) == F.col(key + "x"), "left")
-                    rel = Relation(both.withColumn(flag, F.coalesce(flag, F.lit(False)) != F.lit(x.negated)), rel.vars)
-                    special[id(x)] = Value(F.col(flag), "bool")
+        nodes = [x for e in exprs for x in _walk(e)]
+        calls = [x for x in nodes if isinstance(x, S.PathCall)]
+        rel = promoted(rel, {v.name for x in calls for v in (x.src, x.dst) if isinstance(v, S.Var) and v.name in rel.vars})
+        for x in calls:
+            rel, special[id(x)] = self.path_value(rel, x)
+        for x in nodes:
+            if isinstance(x, S.Exists):
+                rel, special[id(x)] = self.exists_value(rel, x)
         return rel, special
 
+    def exists_value(self, rel: Relation, x: S.Exists) -> tuple[Relation, Value]:
+        """EXISTS as a column: the distinct values of the variables that it sees are
+        judged once and joined to the rows."""
+        inner = {v for p in x.group.parts if isinstance(p, S.Filter) for v in _variables(p.expr)} | set(self.group(x.group, filters=False).vars)
+        seen = {v: b for v, b in rel.vars.items() if v in inner}
+        keys = renamed(Relation(rel.df.select(*[b.col for b in seen.values()]).distinct(), seen)) if seen else self.unit()
+        flag = fresh()
+        kept = self.filter(keys, S.Exists(x.group, False))
+        hit = kept.df.select(*[kept.vars[v].col for v in seen], F.lit(True).alias(flag))
+        if seen:
+            both = rel.df.join(hit, _all_equal([(rel.vars[v].col, kept.vars[v].col) for v in seen]), "left")
+            found = F.coalesce(flag, F.lit(False))
+        else:
+            both, found = rel.df, hit.agg(F.count(flag)).scalar() > 0
+        out = fresh()
+        df = both.select(*rel.df.columns, (found != F.lit(x.negated)).alias(out))
+        return Relation(df, rel.vars), Value(F.col(out), "bool")
+
     def extend(self, rel: Relation, name: str, expr) -> Relation:
         if name in rel.vars:
             raise S.QueryError(f"?{name} is bound already")
@@ -226,10 +248,12 @@ class Compiler:
 
     # -- path calls
     def path_value(self, rel: Relation, call: S.PathCall) -> tuple[Relation, Value]:
-        rel = promoted(rel, [x.name for x in (call.src, call.dst) if isinstance(x, S.Var)])
+        """The call's value for each row; its variables are terms already."""
 
         def end(x):
-            return F.col(rel.vars[x.name].col) if isinstance(x, S.Var) else F.lit(constant_term(x))
+            if isinstance(x, S.Var):
+                return F.col(rel.vars[x.name].col) if x.name in rel.vars else F.lit(None).cast("string")
+            return F.lit(constant_term(x))
 
         pairs = rel.df.select(end(call.src).alias("src"), end(call.dst).alias("dst")).distinct()
         found, kind = path_call(call.name, pairs, self.graph.edges(call.predicates), call.directed, call.k)
@@ -312,16 +336,19 @@ def _aggregate(a: S.Call, v: Value | None, rel: Relation):
         return (F.count_distinct if a.distinct else F.count)(v.col), "int", ""
     if a.name in ("sum", "avg"):
         n = number(v)
-        if a.distinct and v.kind == "term":
-            n = n.cast("double")
         total = {("sum", False): F.sum, ("sum", True): F.sum_distinct, ("avg", False): F.avg}.get((a.name, a.distinct))
+        if v.kind == "term" and a.name == "sum":
+            whole = F.bool_and(F.when(number(v).isNotNull(), T.datatype(v.col).isin(T.WHOLE)))
+            value = total(n)
+            text = F.when(whole, T.literal(value.cast("bigint").cast("string"), T.XSD + "integer")).otherwise(T.literal(value.cast("string"), T.XSD + "double"))
+            return F.when(value.isNotNull(), text), "term", ""
         if total is None:
             return F.try_divide(F.sum_distinct(n).cast("double"), F.count_distinct(n).cast("double")), "num", ""
         return (total(n).cast("bigint") if v.kind == "int" and a.name == "sum" else total(n).cast("double")), "int" if v.kind == "int" and a.name == "sum" else "num", ""
     if a.name in ("min", "max"):
         f = F.min if a.name == "min" else F.max
-        if v.kind == "term":
-            return F.coalesce(f(number(v)).cast("string"), f(lexical(v))), "str", ""
+        if v.kind == "term":  # in the order of ORDER BY; the term itself comes back
+            return f(F.when(v.col.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_sort_keys(v))]))).getField("k4"), "term", ""
         return f(v.col), v.kind, v.template
     if a.name == "sample":
         return F.min(v.col), v.kind, v.template

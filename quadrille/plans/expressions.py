@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -41,8 +42,8 @@ def constant(x) -> Value:
         return Value(F.lit(x.lex).try_cast("double"), "num")
     if x.datatype == T.XSD + "boolean":
         return Value(F.lit(x.lex in ("true", "1")), "bool")
-    if x.datatype in (T.XSD + "dateTime", T.XSD + "date"):
-        return Value(F.lit(x.lex.rstrip("Z")).try_cast("timestamp_ntz"), "ts")
+    if x.datatype in (T.XSD + "dateTime", T.XSD + "date") and not re.search(r"(Z|[+-]\d\d:\d\d)$", x.lex):
+        return Value(F.lit(x.lex).try_cast("timestamp_ntz"), "ts")
     from quadrille.sources.graph import constant_term
 
     return Value(F.lit(constant_term(x)), "term")
@@ -77,6 +78,16 @@ def moment(v: Value) -> Column:
     return v.col if v.kind == "ts" else T.timestamp(v.col) if v.kind == "term" else F.lit(None).cast("timestamp_ntz")
 
 
+def clock(v: Value) -> Column:
+    """A moment as its own zone has it."""
+    return T.local_timestamp(v.col) if v.kind == "term" else moment(v)
+
+
+def _texts(a: Value, text: Column) -> Value:
+    """A string made of ``a``, with its language tag."""
+    return Value(T.with_tag_of(a.col, text), "term") if a.kind == "term" else Value(text, "str")
+
+
 def truth(v: Value) -> Column:
     """Effective boolean value."""
     if v.kind == "bool":
@@ -219,23 +230,33 @@ def call(name: str, args: list[Value]) -> Value:  # noqa: PLR0911, PLR0912
         f = {"contains": F.contains, "strstarts": F.startswith, "strends": F.endswith}[name]
         return Value(f(string(a), string(args[1])), "bool")
     if name in ("ucase", "lcase"):
-        return Value((F.upper if name == "ucase" else F.lower)(string(a)), "str")
+        return _texts(a, (F.upper if name == "ucase" else F.lower)(string(a)))
     if name == "strlen":
         return Value(F.length(string(a)).cast("bigint"), "int")
-    if name == "substr":
-        start = number(args[1]).cast("int")
-        size = number(args[2]).cast("int") if len(args) > 2 else F.length(string(a))
-        return Value(F.substring(string(a), start, size), "str")
+    if name == "substr":  # positions p with start <= p < start + size, both rounded
+        text, start = string(a), F.floor(number(args[1]) + 0.5).cast("int")
+        end = F.length(text) + 1 if len(args) < 3 else start + F.floor(number(args[2]) + 0.5).cast("int")
+        first = F.greatest(start, F.lit(1))
+        # greatest and least skip nulls
+        cut = F.when(start.isNotNull() & end.isNotNull(), F.substring(text, first, F.greatest(end - first, F.lit(0))))
+        return _texts(a, cut)
     if name == "concat":
-        return Value(F.concat(*[string(x) for x in args]), "str")
+        text = F.concat(*[string(x) for x in args])
+        if any(x.kind != "term" for x in args):
+            return Value(text, "str")
+        same = reduce(lambda x, y: x & y, [T.language(x.col) == T.language(a.col) for x in args])
+        return Value(F.when(same, T.with_tag_of(a.col, text)).otherwise(T.literal(text)), "term")
     if name in ("strbefore", "strafter"):
         s, part = string(a), string(args[1])
         at = F.instr(s, part)
         cut = F.substring(s, F.lit(1), at - 1) if name == "strbefore" else F.substring(s, at + F.length(part), F.length(s))
-        return Value(F.when(at > 0, cut).otherwise(F.when(s.isNotNull() & part.isNotNull(), F.lit(""))), "str")
+        none = F.when(s.isNotNull() & part.isNotNull(), F.lit(""))
+        if a.kind == "term":  # without a match, an empty string without a tag
+            return Value(F.when(at > 0, T.with_tag_of(a.col, cut)).otherwise(T.literal(none)), "term")
+        return Value(F.when(at > 0, cut).otherwise(none), "str")
     if name == "replace":
         flags = string(args[3]) if len(args) > 3 else None
-        return Value(F.regexp_replace(string(a), _java_pattern(string(args[1]), flags), string(args[2])), "str")
+        return _texts(a, F.regexp_replace(string(a), _java_pattern(string(args[1]), flags), string(args[2])))
     if name == "encode_for_uri":
         return Value(F.replace(F.replace(F.replace(F.url_encode(string(a)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")), "str")
     if name in ("abs", "ceil", "floor", "round"):
@@ -248,11 +269,21 @@ def call(name: str, args: list[Value]) -> Value:  # noqa: PLR0911, PLR0912
         return Value(F.rand(), "num")
     if name in ("year", "month", "day", "hours", "minutes"):
         f = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hours": F.hour, "minutes": F.minute}[name]
-        return Value(f(moment(a)).cast("bigint"), "int")
+        return Value(f(clock(a)).cast("bigint"), "int")
     if name == "seconds":
-        return Value(F.second(moment(a)).cast("double"), "num")
-    if name in ("tz", "timezone"):
-        return Value(F.regexp_extract(lexical(a), r"(Z|[+-]\d\d:\d\d)$", 1), "str")
+        at = clock(a)
+        return Value(F.second(at) + F.date_format(at, "SSSSSS").cast("double") / 1e6, "num")
+    if name == "tz":
+        return Value(F.when(clock(a).isNotNull(), T.zone(lexical(a))), "str")
+    if name == "timezone":  # a day-time duration; an error without a zone
+        def duration(at: Column) -> Column:
+            hours, minutes = F.substring(at, 2, 2).try_cast("int"), F.substring(at, 5, 2).try_cast("int")
+            parts = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+            text = F.when((at == "Z") | (parts == ""), F.lit("PT0S")).otherwise(F.concat(F.when(at.startswith("-"), F.lit("-PT")).otherwise(F.lit("PT")), parts))
+            return F.when(at != "", T.literal(text, T.XSD + "dayTimeDuration"))
+
+        at = F.when(clock(a).isNotNull(), T.zone(lexical(a)))
+        return Value(F.get(F.transform(F.array(at), duration), 0), "term")  # the zone is computed once
     if name == "now":
         return Value(F.current_timestamp().cast("timestamp_ntz"), "ts")
     if name in ("iri", "uri"):
@@ -277,6 +308,18 @@ def call(name: str, args: list[Value]) -> Value:  # noqa: PLR0911, PLR0912
         return Value(lexical(a).try_cast("double"), "num")
     if name == T.XSD + "string":
         return Value(lexical(a), "str")
+    if name == T.XSD + "boolean":
+        if a.kind in ("bool", "int", "num"):
+            return Value(truth(a), "bool")
+        text = lexical(a)
+        known = F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+        return Value(known if a.kind != "term" else F.coalesce(T.number(a.col) != 0, known), "bool")
+    if name in (T.XSD + "dateTime", T.XSD + "date"):
+        at = a.col if a.kind == "ts" else T.local_time(lexical(a))
+        style = "yyyy-MM-dd" if name.endswith("#date") else "yyyy-MM-dd'T'HH:mm:ss"
+        if a.kind == "ts" and name.endswith("#dateTime"):
+            return a
+        return Value(T.literal(F.concat(F.date_format(at, style), F.lit("") if a.kind == "ts" else T.zone(lexical(a))), name), "term")
     if name in CUSTOM:
         return Value(*CUSTOM[name](*[x.col for x in args]))
     raise QueryError(f"unknown function {name}")

@@ -31,8 +31,11 @@ class Binding:
 
 @dataclass
 class Relation:
+    """key: the variable whose value fixes a row, if there is one."""
+
     df: DataFrame
     vars: dict[str, Binding]
+    key: str | None = None
 
 
 def term_column(col: Column, kind: str, template: str = "") -> Column:
@@ -105,22 +108,67 @@ def _picked(df: DataFrame, a: Relation, b: Relation, outer: bool) -> Relation:
     return Relation(df.select(*cols), out)
 
 
+def _loose(a: Relation, b: Relation) -> list[str]:
+    """Shared variables that can be unbound, if no shared variable is always bound: then
+    rows are told apart by what they bind. An equi-join on one certain key does without."""
+    shared = [v for v in a.vars if v in b.vars]
+    loose = [v for v in shared if a.vars[v].maybe or b.vars[v].maybe]
+    return loose if len(loose) == len(shared) else []
+
+
+def _by_bound(rel: Relation, names: list[str]) -> list[tuple[set[str], Relation]]:
+    """The relation's rows by which of the named variables they bind."""
+    maybe = [v for v in names if rel.vars[v].maybe]
+    out = []
+    for bound in itertools.product((True, False), repeat=len(maybe)):
+        test = _all([F.col(rel.vars[v].col).isNotNull() if is_ else F.col(rel.vars[v].col).isNull() for v, is_ in zip(maybe, bound, strict=True)])
+        own = {v for v, is_ in zip(maybe, bound, strict=True) if is_} | {v for v in names if v not in maybe}
+        out.append((own, Relation(rel.df.where(test) if maybe else rel.df, rel.vars)))
+    return out
+
+
+def _is_empty(df: DataFrame) -> Column:
+    """Whether a frame has no rows, as a scalar subquery."""
+    return df.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+
+
+def _equal(a: Relation, b: Relation, names) -> Column:
+    return _all([F.col(a.vars[v].col) == F.col(b.vars[v].col) for v in sorted(names)])
+
+
+def _matched(a: Relation, b: Relation, common: set[str], kind: str, condition: Column | None) -> DataFrame:
+    """Rows of ``a`` that have (left_semi) or lack (left_anti) a partner with equal values
+    of ``common``."""
+    if common:
+        on = _equal(a, b, common)
+        return a.df.join(b.df, on if condition is None else on & condition, kind)
+    if condition is None:
+        empty = _is_empty(b.df)
+        return a.df.where(empty if kind == "left_anti" else ~empty)
+    return a.df.join(b.df, condition, kind)
+
+
+def _lacking(a: Relation, parts: list[tuple[set[str], Relation]], own: set[str], condition: Column | None, products: bool) -> Relation:
+    """Rows of ``a``, which bind ``own``, without a partner in any of the parts. products:
+    rows with no variable in common are partners."""
+    for bound, b in parts:
+        if own & bound or products:
+            a = Relation(_matched(a, b, own & bound, "left_anti", condition), a.vars)
+    return a
+
+
+def _joined(a: Relation, b: Relation, common: set[str], condition: Column | None) -> Relation:
+    df = a.df.join(b.df, _equal(a, b, common)) if common else a.df.crossJoin(b.df)
+    return _picked(df if condition is None else df.where(condition), a, b, False)
+
+
 def join(a: Relation, b: Relation) -> Relation:
     shared = [v for v in a.vars if v in b.vars]
     a, b = aligned(a, b, shared)
     if not shared:
         return _picked(a.df.crossJoin(b.df), a, b, False)
-    loose = [v for v in shared if a.vars[v].maybe or b.vars[v].maybe]
-    if len(loose) == len(shared) == 1:
-        # no certain key: equal bindings by an equi-join, unbound ones apart, in place of
-        # one nested loop over all pairs
-        x, y = F.col(a.vars[shared[0]].col), F.col(b.vars[shared[0]].col)
-        cut = [_picked(a.df.where(x.isNotNull()).join(b.df.where(y.isNotNull()), x == y), a, b, False)]
-        if a.vars[shared[0]].maybe:
-            cut.append(_picked(a.df.where(x.isNull()).crossJoin(b.df), a, b, False))
-        if b.vars[shared[0]].maybe:
-            cut.append(_picked(a.df.where(x.isNotNull()).crossJoin(b.df.where(y.isNull())), a, b, False))
-        return reduce(union, map(renamed, cut))
+    if loose := _loose(a, b):
+        return reduce(union, [renamed(_joined(x, y, own & other, None)) for own, x in _by_bound(a, loose) for other, y in _by_bound(b, loose)])
     return _picked(a.df.join(b.df, _all([_meets(a.vars[v], b.vars[v]) for v in shared])), a, b, False)
 
 
@@ -128,9 +176,14 @@ def left_join(a: Relation, b: Relation, condition) -> Relation:
     """OPTIONAL; condition(relation of both sides) is the filter within, or None."""
     shared = [v for v in a.vars if v in b.vars]
     a, b = aligned(a, b, shared)
-    on = [_meets(a.vars[v], b.vars[v]) for v in shared]
-    if condition is not None:
-        on.append(condition({**b.vars, **a.vars}))
+    test = condition({**b.vars, **a.vars}) if condition is not None else None
+    if loose := _loose(a, b):
+        out, parts = [], _by_bound(b, loose)
+        for own, x in _by_bound(a, loose):
+            out += [_joined(x, y, own & other, test) for other, y in parts]
+            out.append(_lacking(x, parts, own, test, True))
+        return reduce(union, map(renamed, out))
+    on = [_meets(a.vars[v], b.vars[v]) for v in shared] + ([test] if test is not None else [])
     return _picked(a.df.join(b.df, _all(on), "left"), a, b, True)
 
 
@@ -154,9 +207,10 @@ def minus(a: Relation, b: Relation) -> Relation:
         return a
     b = renamed(b)
     a, b = aligned(a, b, shared)
+    if loose := _loose(a, b):
+        parts = _by_bound(b, loose)
+        return reduce(union, [renamed(_lacking(x, parts, own, None, False)) for own, x in _by_bound(a, loose)])
     on = [_meets(a.vars[v], b.vars[v]) for v in shared]
-    if all(a.vars[v].maybe or b.vars[v].maybe for v in shared):
-        on.append(reduce(lambda x, y: x | y, [F.col(a.vars[v].col).isNotNull() & F.col(b.vars[v].col).isNotNull() for v in shared]))
     return Relation(a.df.join(b.df, _all(on), "left_anti"), a.vars)
 
 
@@ -164,7 +218,17 @@ def exists(a: Relation, b: Relation, negated: bool, condition=None) -> Relation:
     shared = [v for v in a.vars if v in b.vars]
     b = renamed(b)
     a, b = aligned(a, b, shared)
-    on = [_meets(a.vars[v], b.vars[v]) for v in shared]
-    if condition is not None:
-        on.append(condition({**b.vars, **a.vars}))
-    return Relation(a.df.join(b.df, _all(on), "left_anti" if negated else "left_semi"), a.vars)
+    test = condition({**b.vars, **a.vars}) if condition is not None else None
+    loose = _loose(a, b)
+    if not loose and shared:
+        on = [_meets(a.vars[v], b.vars[v]) for v in shared] + ([test] if test is not None else [])
+        return Relation(a.df.join(b.df, _all(on), "left_anti" if negated else "left_semi"), a.vars)
+    out, parts = [], _by_bound(b, loose)
+    for own, x in _by_bound(a, loose):
+        if negated:
+            out.append(_lacking(x, parts, own, test, True))
+            continue
+        for i, (other, y) in enumerate(parts):  # partners in this part and none before
+            rest = _lacking(x, parts[:i], own, test, True)
+            out.append(Relation(_matched(rest, y, own & other, "left_semi", test), a.vars))
+    return reduce(union, map(renamed, out)) if len(out) > 1 else out[0]

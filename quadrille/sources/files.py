@@ -14,6 +14,7 @@ from quadrille.plans.syntax import Parser, QueryError
 from quadrille.sources.graph import TripleGraph, constant_term
 
 _NT = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+?|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+_UNICODE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
 # Ranges of the bounded integer datatypes.
 _RANGES = {"long": 63, "int": 31, "short": 15, "byte": 7}
 
@@ -35,11 +36,33 @@ def _canonical(df: DataFrame) -> DataFrame:
     return df.withColumn("o", o).where(well_typed(F.col("o")))
 
 
+def _plain_characters(term: Column) -> Column:
+    """A term whose escapes by code point are the characters that they stand for."""
+    marks = F.array_distinct(F.regexp_extract_all(term, F.lit(_UNICODE), F.lit(0)))
+    # UTF-16 units, so that a character beyond 16 bits is a pair
+    code = lambda m: F.conv(F.substring(m, F.lit(3), F.length(m)), 16, 10).cast("int")
+    unit = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    high, low = lambda n: F.lit(0xD7C0) + F.shiftright(n, 10), lambda n: F.lit(0xDC00) + n.bitwiseAND(F.lit(0x3FF))
+    text = lambda n: F.decode(F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high(n)), unit(low(n)))), "UTF-16BE")
+    # an escaped backslash before u is no mark: hide those while marks are replaced
+    hidden = F.replace(term, F.lit("\\\\"), F.lit("\x00"))
+    out = F.aggregate(marks, hidden, lambda acc, m: F.replace(acc, m, T.escape(text(code(m)))))
+    return F.when(F.instr(term, "\\u") + F.instr(term, "\\U") > 0, F.replace(out, F.lit("\x00"), F.lit("\\\\"))).otherwise(term)
+
+
+def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns, computed once a row wherever later filters use them."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def parse_ntriples(lines: DataFrame) -> TripleGraph:
+    """Triples of lines (column value); lines that are no triple are skipped."""
+    terms = _once(lines, [F.regexp_extract("value", _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
+    return TripleGraph.of(_canonical(_once(terms, [_plain_characters(F.col(n)).alias(n) for n in "spo"])))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> TripleGraph:
-    """Lines that are no triple are skipped."""
-    lines = spark.read.text(path)
-    parts = [F.regexp_extract("value", _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]
-    return TripleGraph.of(_canonical(lines.select(*parts).where("s <> ''")))
+    return parse_ntriples(spark.read.text(path))
 
 
 class TurtleParser(Parser):
@@ -95,5 +118,10 @@ def from_text(spark: SparkSession, text: str) -> TripleGraph:
     return TripleGraph.of(_canonical(spark.createDataFrame(parse_turtle(text), "s string, p string, o string")))
 
 
+def ntriples_lines(df: DataFrame) -> DataFrame:
+    """value: a line for each triple."""
+    return df.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
+
+
 def write_ntriples(df: DataFrame, path: str) -> None:
-    df.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).write.text(path)
+    ntriples_lines(df).write.text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property, partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import terms as T
@@ -27,13 +27,22 @@ def constant_term(x) -> str:
 
 
 def connected(parts: list[Relation]) -> Relation:
-    """Joins parts along shared variables; apart components meet in a product last."""
-    parts = list(parts)
-    at = parts.pop(0)
+    """Joins parts along shared variables. A part whose key is bound by then adds no rows
+    and comes first; the start is a part that no other refers to by key. Components without
+    a common variable meet in a product once each is whole."""
+    parts, done = list(parts), []
+
+    def next_to(names: set[str]) -> int | None:
+        shared = [i for i, p in enumerate(parts) if names & set(p.vars)]
+        return next((i for i in shared if parts[i].key in names), shared[0] if shared else None)
+
     while parts:
-        k = next((i for i, p in enumerate(parts) if set(p.vars) & set(at.vars)), 0)
-        at = join(at, parts.pop(k))
-    return at
+        root = next((i for i, p in enumerate(parts) if not any(p.key in q.vars for q in parts if q is not p)), 0)
+        at = parts.pop(root)
+        while (k := next_to(set(at.vars))) is not None:
+            at = join(at, parts.pop(k))
+        done.append(at)
+    return reduce(join, done)
 
 
 class Graph:
@@ -64,9 +73,15 @@ class Graph:
             all_ = self.triples()
         return all_.where(~T.is_literal(F.col("o"))).distinct()
 
-    def nodes(self) -> DataFrame:
+    def nodes(self, literals: bool = True) -> DataFrame:
+        """n: every subject and object; without ``literals`` those that can be subjects."""
         t = self.triples()
-        return t.select(F.col("s").alias("n")).union(t.select("o")).distinct()
+        found = t.select(F.col("s").alias("n")).union(t.select("o")).distinct()
+        return found if literals else found.where(~T.is_literal(F.col("n")))
+
+    def predicates(self) -> DataFrame:
+        """p: every predicate."""
+        return self.triples().select("p").distinct()
 
     def predicate_stats(self) -> DataFrame:
         return self.triples().groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects"))
@@ -98,7 +113,7 @@ class TripleGraph(Graph):
         return self.df
 
     def scans(self, triples):
-        return [self._scan(t) for t in triples]
+        return sorted((self._scan(t) for t in triples), key=lambda r: len(r.vars))
 
     def _scan(self, t: Triple) -> Relation:
         df, seen, cols = self.df, {}, []
@@ -112,12 +127,30 @@ class TripleGraph(Graph):
                 cols.append(F.col(name).alias(seen[x.name][1].col))
         return Relation(df.select(*cols) if cols else df.select(), {v: b for v, (_, b) in seen.items()})
 
+    def held(self, df: DataFrame) -> DataFrame:
+        """Which of the triples ``df`` (distinct) the graph holds. The graph is only read:
+        the side of ``df`` is hashed or shuffled."""
+        return self.df.join(df.select("s", "p", "o"), ["s", "p", "o"], "left_semi")
+
+    def missing(self, df: DataFrame) -> DataFrame:
+        """Which of the triples the graph doesn't hold, each once."""
+        new = df.select("s", "p", "o").distinct()
+        return new.join(self.held(new), ["s", "p", "o"], "left_anti")
+
     def insert(self, df: DataFrame) -> TripleGraph:
-        return TripleGraph.of(self.df.unionByName(df.select("s", "p", "o")))
+        return TripleGraph(self.df.unionByName(self.missing(df)))
 
     def remove(self, df: DataFrame) -> TripleGraph:
         return TripleGraph(self.df.join(df.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti"))
 
+    def cache(self) -> TripleGraph:
+        """Kept in memory, as far as it fits, until ``unload``."""
+        self.df.persist()
+        return self
+
+    def unload(self) -> None:
+        self.df.unpersist()
+
 
 class Table:
     """A relation whose rows are subjects. read: gives the frame, when a pattern needs it.
@@ -135,6 +168,11 @@ class Table:
     def types(self) -> dict[str, str]:
         return dict(self.df.dtypes)
 
+    @property
+    def unique(self) -> bool:
+        """Whether a subject is one row."""
+        return self._key is not None
+
     @property
     def key(self) -> Column:
         return F.expr(self._key) if self._key else F.xxhash64(*self.df.columns)
@@ -155,6 +193,10 @@ class MappedGraph(Graph):
     def __init__(self, spark: SparkSession, tables: list[Table]):
         self.spark, self.tables = spark, tables
 
+    def of_classes(self, *classes: str) -> MappedGraph:
+        """The part of the graph that some tables make."""
+        return MappedGraph(self.spark, [t for t in self.tables if t.cls in classes])
+
     def triples(self) -> DataFrame:
         rel = promoted(self.bgp([Triple(Var("s"), Var("p"), Var("o"))]), ["s", "p", "o"])
         return rel.df.select(*[F.col(rel.vars[x].col).alias(x) for x in "spo"])
@@ -235,7 +277,10 @@ class MappedGraph(Graph):
         rel = Relation(df.select(*[c.alias(names[v].col) for v, (c, _, _) in found.items()], *([F.struct("*").alias(key)] if loose else [])), names)
         for t in loose:
             rel = self._any_predicate(tab, rel, key, t)
-        return Relation(rel.df.select(*[b.col for b in rel.vars.values()]), rel.vars) if loose else rel
+        if loose:
+            return Relation(rel.df.select(*[b.col for b in rel.vars.values()]), rel.vars)
+        rel.key = subject.name if isinstance(subject, Var) and tab.unique else None
+        return rel
 
     @staticmethod
     def _equals(col: Column, kind: str, template: str, x) -> Column | None:
@@ -248,7 +293,7 @@ class MappedGraph(Graph):
         if kind in ("int", "num"):
             return col == F.lit(x.lex).cast("double") if x.datatype in T.NUMERIC else None
         if kind == "ts":
-            return col == F.lit(x.lex.rstrip("Z")).cast("timestamp_ntz") if x.datatype in (T.XSD + "dateTime", T.XSD + "date") else None
+            return col == T.universal_time(F.lit(x.lex)) if x.datatype in (T.XSD + "dateTime", T.XSD + "date") else None
         return col == F.lit(x.lex in ("true", "1")) if kind == "bool" and x.datatype == T.XSD + "boolean" else None
 
     def _any_predicate(self, tab: Table, rel: Relation, row: str, t: Triple) -> Relation:
@@ -294,6 +339,12 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
     def table(name: str, cls: str, key: str | None, columns: dict, template: str | None = None) -> Table:
         return Table(partial(read, name), EX + cls, template or node(name), key, {EX + p: c for p, c in columns.items()})
 
+    def read_turns() -> DataFrame:
+        """Each turn with the key of the one after it."""
+        later = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+        return read("conversations").withColumn("next_turn", F.when(later.isNotNull(), F.concat_ws("-", "conv_id", later)))
+
+    turns = Table(read_turns, EX + "Turn", node("conversations"), "concat_ws('-', conv_id, turn)", {EX + p: c for p, c in {"conv": "conv_id", "turn": "turn", "role": "role", "body": "text", "next": ("next_turn", node("conversations"))}.items()})
     return MappedGraph(
         spark,
         [
@@ -313,6 +364,9 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
             table("events", "Event", "event_id", {"at": "ts", "user": ("user_id", node("user")), "eventType": "event_type", "value": "value", "props": "props"}),
             table("documents", "Document", "doc_id", {"text": "text", "lang": "lang", "source": "source", "nChars": "n_chars"}),
             table("labels", "Label", "doc_id", {"quality": "quality", "toxic": "toxic"}, node("documents")),
-            table("conversations", "Turn", "concat_ws('-', conv_id, turn)", {"conv": "conv_id", "turn": "turn", "role": "role", "body": "text"}),
+            turns,
+            table("pages", "Page", "page_id", {"url": "url", "html": "html"}),
+            table("benchmark", "Item", "item_id", {"itemText": "text"}),
+            table("embeddings", "Vector", "vec_id", {"vecLabel": "label"}),
         ],
     )

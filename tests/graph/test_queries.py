@@ -74,3 +74,23 @@ def test_cycles_and_walks_without_a_bound(spark):
     assert {r.src for r in path_call("simplecycleboolean", pairs, edges, True, 8)[0].collect()} == {"n2"}
     far = spark.createDataFrame([("n0", "n8")], "src string, dst string")
     assert [r.value for r in path_call("khopenumerate", far, edges, True, -1)[0].collect()] == [whole[: whole.rindex(" p ")]]
+
+
+@pytest.mark.parametrize("name", ["optional_chain", "minus_unbound", "exists_unbound", "not_exists_unbound", "exists_twice", "exists_projected"])
+def test_uncertain_keys_need_no_nested_loop(spark, name):
+    plan = FOUND[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "monotonically" not in plan
+
+
+def test_products_come_last(spark):
+    g = driver_graph(spark, SF)
+    text = "SELECT ?c ?s WHERE { ?c a :Customer ; :nation <http://ex/nation/3> . ?s a :Supplier ; :nation ?n . ?n :region ?r . ?r :name \"ASIA\" }"
+    plan = run(g, text, PREFIXES)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    product = next(i for i, x in enumerate(plan) if "Join" in x)
+    assert "Join Inner\n" in plan[product] + "\n" and sum("Join" in x for x in plan) == 3
+
+
+def test_chains_are_pruned_bottom_up(spark):
+    g = driver_graph(spark, SF)
+    plan = run(g, QUERIES["topk_long_chain"][0], PREFIXES, method="DP-P")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") + plan.count("Window [row_number") >= 2

@@ -1,13 +1,17 @@
 """Stored triples: files, semantics of group patterns, paths, updates, sinks."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quadrille.operators.updates import update
+from quadrille.operators.paths import path_call
+from quadrille.operators.updates import changed, update
 from quadrille.plans.compiler import run
+from quadrille.plans.expressions import register_function
 from quadrille.plans.syntax import QueryError, parse_query
-from quadrille.sources.files import from_text, parse_turtle, read_ntriples, read_turtle, write_ntriples
+from quadrille.sources.files import from_text, parse_ntriples, parse_turtle, read_ntriples, read_turtle, write_ntriples
 from quadrille.sources.graph import TripleGraph
 from quadrille.sources.results import to_json, to_tsv
 from quadrille.streaming.ingest import ingest, triple_stream
@@ -75,7 +79,7 @@ def test_badly_typed_are_dropped(g):
         ("SELECT ?y WHERE { :c :home/:city ?y }", [("Ulm",)]),
         ("SELECT ?y WHERE { :c :home ?h FILTER(isBlank(?h)) BIND(1 AS ?y) }", [(1,)]),
         ("SELECT ?x ?k WHERE { ?x :name ?n OPTIONAL { ?x :knows ?k FILTER(?k = :b) } }", [("http://x/a", "http://x/b"), ("http://x/b", None), ("http://x/c", None)]),
-        ("SELECT (COUNT(*) AS ?n) (SUM(?a) AS ?s) WHERE { ?x :age ?a }", [(3, 61.0)]),
+        ("SELECT (COUNT(*) AS ?n) (SUM(?a) AS ?s) WHERE { ?x :age ?a }", [(3, "61")]),
         ("ASK { :a :knows :c }", [(True,)]),
     ],
 )
@@ -158,3 +162,75 @@ def test_grouping_rules(g):
     for text in ("SELECT * WHERE { ?x :age ?a } GROUP BY ?x", "SELECT ?a (COUNT(*) AS ?n) WHERE { ?x :age ?a } GROUP BY ?x"):
         with pytest.raises(QueryError):
             run(g, text, P)
+
+
+def test_unicode_escapes(spark):
+    lines = [r'<http://x/\u00E9> <http://x/p> "caf\u00e9 \U0001F600 \\u0041 \u0022q\u0022" .', r'<http://x/a> <http://x/p> "plain\n" .']
+    got = {tuple(r) for r in parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).triples().collect()}
+    assert got == {("<http://x/é>", "<http://x/p>", '"café 😀 ' + r'\\u0041 \"q\"' + '"'), ("<http://x/a>", "<http://x/p>", r'"plain\n"')}
+
+
+def test_tags_and_terms_of_aggregates(spark):
+    g = from_text(spark, '@prefix : <http://x/> . :a :l "Chat"@fr , "plain" . :a :v 3 , 12 , 2.5 . :b :v 7 , 4 . :b :l "Hund"@de .')
+    one = lambda q: [tuple(r) for r in run(g, q, P, terms=True).collect()]
+    assert sorted(one("SELECT (UCASE(?l) AS ?v) WHERE { :a :l ?l }")) == [('"CHAT"@fr',), ('"PLAIN"',)]
+    assert one('SELECT (SUBSTR(?l, 0, 3) AS ?v) WHERE { :b :l ?l }') == [('"Hu"@de',)]
+    assert one('SELECT (CONCAT(?l, ?l) AS ?v) WHERE { :b :l ?l }') == [('"HundHund"@de',)]
+    assert one('SELECT (STRAFTER(?l, "u") AS ?v) (STRBEFORE(?l, "z") AS ?w) (REPLACE(?l, "n", "m") AS ?r) WHERE { :b :l ?l }') == [('"nd"@de', '""', '"Humd"@de')]
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    assert one("SELECT (MIN(?x) AS ?a) (MAX(?x) AS ?b) (SUM(?x) AS ?c) WHERE { :b :v ?x }") == [(f'"4"^^<{xsd}integer>', f'"7"^^<{xsd}integer>', f'"11"^^<{xsd}integer>')]
+    assert one("SELECT (MAX(?x) AS ?b) (SUM(?x) AS ?c) WHERE { :a :v ?x }") == [(f'"12"^^<{xsd}integer>', f'"17.5"^^<{xsd}double>')]
+
+
+def test_moments_with_zones(spark):
+    g = from_text(spark, '@prefix : <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . :a :t "2020-01-01T00:30:00+02:00"^^xsd:dateTime . :b :t "2019-12-31T22:30:00Z"^^xsd:dateTime . :c :t "2020-01-01T00:30:00"^^xsd:dateTime .')
+    assert rows(g, 'SELECT ?x WHERE { ?x :t ?t FILTER(?t = "2019-12-31T17:30:00-05:00"^^<http://www.w3.org/2001/XMLSchema#dateTime>) }') == ids("a", "b")
+    assert rows(g, "SELECT ?x (HOURS(?t) AS ?h) (TZ(?t) AS ?z) WHERE { ?x :t ?t }") == [("http://x/a", 0, "+02:00"), ("http://x/b", 22, "Z"), ("http://x/c", 0, "")]
+    assert rows(g, "SELECT ?x WHERE { ?x :t ?t BIND(TIMEZONE(?t) AS ?z) FILTER(bound(?z)) }") == ids("a", "b")
+
+
+def test_counts_of_changes(spark):
+    g = from_text(spark, "@prefix : <http://x/> . :a :p :b . :b :p :c .")
+    assert [tuple(r) for r in changed(g, "INSERT DATA { :a :p :b ; :p :d ; :q :d }", P).collect()] == [(0, 2)]
+    assert [tuple(r) for r in changed(g, "DELETE { ?x :p ?y } INSERT { ?x :p ?y . ?x :r ?y } WHERE { ?x :p ?y }", P).collect()] == [(2, 4)]
+    assert [tuple(r) for r in changed(g, "DELETE DATA { :z :p :b }", P).collect()] == [(0, 0)]
+
+
+def test_custom_functions_and_digests(g):
+    import hashlib
+
+    register_function("http://x/shout", lambda x: (F.concat(x, F.lit("!")), "str"))
+    assert rows(g, 'SELECT (<http://x/shout>("a") AS ?v) WHERE { :a :age 30 }') == [("a!",)]
+    got = rows(g, 'SELECT (SHA384("abc") AS ?a) (SHA512("abc") AS ?b) WHERE { :a :age 30 }')
+    assert got == [(hashlib.sha384(b"abc").hexdigest(), hashlib.sha512(b"abc").hexdigest())]
+
+
+def test_scans_of_entities(g):
+    found = {r[0] for r in g.nodes(literals=False).collect()}
+    assert "<http://x/a>" in found and not any(x.startswith('"') for x in found) and len(found) < g.nodes().count()
+    assert "<http://x/knows>" in {r[0] for r in g.predicates().collect()}
+    g.cache().unload()
+
+
+def test_searches_from_the_side_of_fewer_nodes(spark):
+    rng = random.Random(2)
+    names = [f"n{i}" for i in range(14)]
+    links = sorted({(rng.choice(names), rng.choice("pq"), rng.choice(names)) for _ in range(30)})
+    edges = spark.createDataFrame(links, "s string, p string, o string")
+    best = {n: {n: [n]} for n in names}
+    for n in names:  # least of the shortest paths, by breadth
+        front = {n: [n]}
+        while front:
+            step = {}
+            for at, path in front.items():
+                for s, p, o in links:
+                    if s == at and o not in best[n]:
+                        step[o] = min(step.get(o, [*path, p, o]), [*path, p, o])
+            best[n] |= step
+            front = step
+    for pairs in ([("n0", x) for x in names], [(x, "n3") for x in names], [(x, y) for x in names[:4] for y in names[4:]]):
+        df = spark.createDataFrame(pairs, "src string, dst string")
+        want = {(a, b): " ".join(best[a][b]) for a, b in pairs if b in best[a]}
+        assert {(r.src, r.dst): r.value for r in path_call("shortestpath", df, edges, True, None)[0].collect()} == want
+        assert {(r.src, r.dst): r.value for r in path_call("shortestpathlen", df, edges, True, None)[0].collect()} == {k: v.count(" ") // 2 for k, v in want.items()}
+        assert {(r.src, r.dst) for r in path_call("khopreachable", df, edges, True, 2)[0].collect()} == {k for k, v in want.items() if v.count(" ") <= 4}
