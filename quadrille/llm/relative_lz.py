@@ -36,15 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.exchange import answer, ask, block_count, by_range, groups, in_order, runs, unpack, unpacked
+from quadrille.llm.exchange import answer, ask, block_count, by_range, freeing, groups, in_order, runs, unpack, unpacked
 from quadrille.llm.textops import U64, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, length: long, reference: long, position: long>>"
 _FACTOR = pa.struct([(x, pa.int64()) for x in ("start", "length", "reference", "position")])
 _STRETCH = "reference long, digest binary, block long, words binary"
-_PARSED = "reference long, digest binary, factors binary"
+_PARSED = "reference long, digest binary, blocks array<long>, factors binary"
 _STRETCH_ARROW = pa.schema([("reference", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()), ("words", pa.binary())])
-_PARSED_ARROW = pa.schema([("reference", pa.int64()), ("digest", pa.binary()), ("factors", pa.binary())])
+_PARSED_ARROW = pa.schema([("reference", pa.int64()), ("digest", pa.binary()), ("blocks", pa.list_(pa.int64())), ("factors", pa.binary())])
 
 
 class Words:
@@ -190,7 +190,7 @@ def _parse(width: int):
             a, b = int(other.first[i]), int(other.first[i + 1])
             got = reference.parse(other, a, b, found[edge[i] : edge[i + 1]])
             blobs.append(np.array([(s - a, n, p) for s, n, p in got], np.int64).tobytes())
-        return pa.table([stretches["reference"], stretches["digest"], pa.array(blobs, pa.binary())], schema=_PARSED_ARROW)
+        return pa.table([stretches["reference"], stretches["digest"], stretches["blocks"].cast(pa.list_(pa.int64())), pa.array(blobs, pa.binary())], schema=_PARSED_ARROW)
 
     return parse
 
@@ -260,20 +260,20 @@ def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int | None =
     earlier. One row per row of ``docs``: doc_id, n_words, n_removed, kept_text and
     the factors (first word, words, reference block, place among its words)."""
     src = docs.select("doc_id", "text")
-    n = block_count(src, block_bytes)
+    n, n_ranges = block_count(src, block_bytes)
     blocks = by_range(src, n)
 
     def keys_of(table: pa.Table):
         found = np.sort(_words(table).windows(width)[0])
         return [(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found, None)]
 
-    answers = answer(ask(blocks, keys_of, n), _first_reference)
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(width), _STRETCH)
-    distinct = sent.groupBy("reference", "digest").agg(F.any_value("words").alias("words"))
-    parsed = distinct.select("reference", "digest", "words")
-    parsed = blocks.groupBy("block").cogroup(parsed.groupBy("reference")).applyInArrow(_parse(width), _PARSED)
-    back = sent.select("reference", "digest", "block").join(parsed, ["reference", "digest"])
+    answers = answer(ask(blocks, keys_of, n_ranges), _first_reference)
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freeing(_send(width)), _STRETCH)
+    # the blocks that wait for a stretch: 8 bytes each
+    distinct = sent.groupBy("reference", "digest").agg(F.any_value("words").alias("words"), F.collect_list("block").alias("blocks"))
+    parsed = blocks.groupBy("block").cogroup(distinct.groupBy("reference")).applyInArrow(freeing(_parse(width)), _PARSED)
+    back = parsed.select("reference", "digest", "factors", F.explode("blocks").alias("block"))
     none = F.lit(None)
     replies = answers.select("block", "part", "reply", none.cast("long").alias("reference"), none.cast("binary").alias("digest"))
     replies = replies.unionByName(back.select("block", none.cast("int").alias("part"), F.col("factors").alias("reply"), "reference", "digest"))
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(width), SCHEMA)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(freeing(_finish(width)), SCHEMA)
