@@ -52,9 +52,9 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts, each led and closed by one blank, offsets (n + 1), and
     each text's letters."""
     lower = [t.lower() for t in texts]
-    sizes = np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower))
-    codes = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "replace"), np.uint32)
-    # text i lies at [start_i, start_i + len_i); the blanks around are shared
+    sizes = np.fromiter((len(t) + 2 for t in lower), np.int64, len(lower))
+    codes = np.frombuffer((" " + "  ".join(lower) + " ").encode("utf-32-le", "replace"), np.uint32)
+    # text i lies at [start_i, start_i + len_i), with a blank of its own before and after
     start = 1 + np.concatenate([[0], np.cumsum(sizes)])
     letter = letters()[codes]
     out = np.where(letter, codes, 32).astype(np.uint32)
@@ -64,7 +64,6 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lead[start[:-1] - 1] = True  # and before each text
     keep[start[:-1] - 1] = False
     place = np.flatnonzero(keep | lead)
-    # a text's last blank and the next text's lead can be the same character: give each text its own
     out = out[place]
     offsets = np.searchsorted(place, start[:-1] - 1, "left")
     return out, np.append(offsets, len(out)), np.add.reduceat(np.append(letter, False).astype(np.int64), start[:-1]) if len(texts) else np.zeros(0, np.int64)

@@ -300,40 +300,51 @@ def test_suffix_dedup_of_long_runs_and_pieces(spark, monkeypatch):
     assert time.perf_counter() - began < 5
 
 
-def brute_path(vocabulary, text):
-    """Best score over all segmentations of a blank-led text."""
-    score = {p.replace("▁", " "): s for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)) if i not in vocabulary.special}
-    lost, best = min(score.values()) - 10, [0.0] + [-math.inf] * len(text)
+def brute_ids(vocabulary, text):
+    """Ids of the best-scoring segmentation of a blank-led text; of equal scores at a
+    position, the one whose last piece is longest."""
+    score = {p.replace("▁", " "): (s, i) for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)) if i not in vocabulary.special}
+    lost, most = min(s for s, _ in score.values()) - 10, max(map(len, score))
+    best, back = [0.0] + [-math.inf] * len(text), [None] * (len(text) + 1)
     for e in range(1, len(text) + 1):
-        for a in range(max(0, e - 20), e):
-            if text[a:e] in score:
-                best[e] = max(best[e], best[a] + score[text[a:e]])
-        if text[e - 1] not in score:
-            best[e] = max(best[e], best[e - 1] + lost)
-    return best[-1], score, lost
+        for a in range(max(0, e - most), e):
+            if text[a:e] in score and best[a] + score[text[a:e]][0] > best[e]:
+                best[e], back[e] = best[a] + score[text[a:e]][0], (a, [score[text[a:e]][1]])
+        if text[e - 1] not in score and best[e - 1] + lost > best[e]:
+            best[e], back[e] = best[e - 1] + lost, (e - 1, [vocabulary.bytes_at[b] for b in text[e - 1].encode()])
+    ids, e = [], len(text)
+    while e:
+        e, own = back[e]
+        ids[:0] = own
+    return ids
 
 
 def test_pieces(odd, empty):
     vocabulary = Vocabulary.load()
     codec = Codec(vocabulary)
     for text in ["hello world  again", "é😀▁", "x\ny", " ", "naïve Straße 12.5", "zz" * 20]:
-        ids = codec.encode(text).tolist()
-        best, score, lost = brute_path(vocabulary, " " + text)
-        got, run = 0.0, 0
-        for i in ids:
-            if i in vocabulary.special:
-                run += 1
-            else:
-                got += score[vocabulary.pieces[i].replace("▁", " ")]
-        n_lost = sum(c not in score for c in " " + text)
-        assert got + n_lost * lost == pytest.approx(best) and codec.decode(ids) == text
+        assert codec.encode(text).tolist() == brute_ids(vocabulary, " " + text) and codec.decode(codec.encode(text)) == text
     encoded = encode_pieces(odd, carry=("lang",))
+    texts = [(r.doc_id, r.text, r.token_ids) for r in encode_pieces(odd, carry=("text",)).collect()]
+    for _, t, ids in texts:
+        if t is None or len(t) < 4000:
+            assert ids == (None if t is None else brute_ids(vocabulary, " " + t) if t else [])
     back = decode_pieces(encoded, carry=("lang", "n_tokens"))
     assert as_counter(pairs(back)) == as_counter(pairs(odd))
     assert {r.n_tokens for r in back.where("text is null").collect()} == {None}
     assert decode_pieces(encode_pieces(empty)).count() == 0
 
 
+def test_pieces_with_ties():
+    """Pieces of one score: the longest last piece wins at each position."""
+    pieces = ["a", "b", "ab", "ba", "aba", " ", " a", *(f"<0x{i:02X}>" for i in range(256))]
+    vocabulary = Vocabulary(pieces, [-1.0] * 7 + [0.0] * 256, list(range(7, 263)), frozenset(range(7, 263)))
+    codec, rng = Codec(vocabulary), random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choices("ab c", k=rng.randrange(1, 15)))
+        assert codec.encode(text).tolist() == brute_ids(vocabulary, " " + text) and codec.decode(codec.encode(text)) == text
+
+
 def test_license_scan(spark, odd, empty):
     rows = [(i, f"Copyright (c) 20{i:02d} Someone\n\n" + body.upper().replace(" ", "  ").replace(",", ";"), name) for i, (name, body) in enumerate(LICENSES)]
     rows.append((99, LICENSES[0][1] + " and more", None))
@@ -417,16 +428,68 @@ def test_language_id(spark, odd, empty):
     assert identify_language(empty).count() == 0 and {r.lang_pred for r in identify_language(noise).collect()} == {"und"}
 
 
-def test_language_models_are_distributions():
+class BruteKneserNey:
+    """Interpolated Kneser-Ney over characters, by definition."""
+
+    def __init__(self, texts, order=4, discount=0.75):
+        self.d, self.order = discount, order
+        texts = [self.plain(t) for t in texts]
+        seen = [Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1)) for n in range(order + 1)]
+        self.count = [None] * (order + 1)
+        self.count[order] = seen[order]
+        for n in range(1, order):
+            before = Counter(g[1:] for g in seen[n + 1])
+            self.count[n] = {g: before.get(g, 1) for g in seen[n]}
+        self.mass, self.kinds = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+        for n in range(1, order + 1):
+            for g, c in self.count[n].items():
+                self.mass[n][g[:-1]] += c
+                self.kinds[n][g[:-1]] += 1
+
+    @staticmethod
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return " " + "".join(w + " " for w in words)
+
+    def p(self, gram):
+        n = len(gram)
+        mass, kinds = self.mass[n][gram[:-1]], self.kinds[n][gram[:-1]]
+        if not mass:
+            return self.p(gram[1:])
+        rest = self.d * kinds / mass
+        own = max(self.count[n].get(gram, 0) - self.d, 0) / mass
+        return own + (rest * self.p(gram[1:]) if n > 1 else rest / (kinds + 1))
+
+    def log(self, text):
+        t = self.plain(text)
+        return sum(math.log(self.p(t[max(0, i - self.order + 1) : i + 1])) for i in range(1, len(t))), len(t) - 1
+
+
+def test_language_models_are_kneser_ney(spark):
     import numpy as np
 
     from quadrille.llm.language_id import train
 
-    model = train([("aa", "abab abba baab " * 5, False), ("bb", "cdcd ddcc " * 5, False)])
-    symbols = np.arange(len(model.alphabet) + 1).astype(np.uint64)
-    first = model.grams[0].find(symbols)
-    p = np.where((first >= 0)[:, None], np.exp(model.grams[0].rows[first]), np.exp(model.floor)[None, :])
-    assert p[1:].sum(axis=0) + np.exp(model.floor) == pytest.approx([1, 1], abs=0.25)
+    rows = [(r.lang, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.lang and len(r.text) < 1500]
+    learnt, rest = rows[:60], [t for _, t in rows[60:]] + ["", "...", "ß", "zzz qqq \u4e2d\u6587", "ends in a letter", "ends in a mark."]
+    model = train([(lang, t, False) for lang, t in learnt])
+    brute = [BruteKneserNey([t for lang, t in learnt if lang == k]) for k in model.languages]
+    total, chars, _ = model.log_likelihood(rest)
+    for t, row, n in zip(rest, total, chars, strict=True):
+        want = [b.log(t) for b in brute]
+        assert {m for _, m in want} == {n} and row == pytest.approx([x for x, _ in want], rel=1e-4, abs=1e-3)
+        (alone,), _, _ = model.log_likelihood([t])
+        assert alone == pytest.approx(row, rel=1e-6, abs=1e-4)  # whatever stands beside it
+    lang = model.predict(rest, 8.0)[0]
+    for k, t in zip(lang, rest, strict=True):
+        scores = [b.log(t)[0] for b in brute]
+        assert (k == -1) == (not any(map(str.isalpha, t))) and (k < 0 or scores[k] == pytest.approx(max(scores), rel=1e-4))
+    symbols = [" ", *map(chr, model.alphabet[model.alphabet != 32])]
+    for b in brute:  # each context's probabilities sum to one, with one unknown symbol
+        for context in ("", "e", "en", " th", "zzq"):
+            known = {s for s in symbols if s in b.count[1]}
+            assert sum(b.p(context + s) for s in known) + b.p(context + "\x00") == pytest.approx(1)
+    assert np.isfinite(total).all()
 
 
 def true_likeness_bounds(a, b, near):
