@@ -270,6 +270,18 @@ QUERIES |= {
     "chain_backwards": _q("SELECT ?b (shortestPathLen(?b, ?a, false, {:next}) AS ?v) WHERE { ?a a :Turn ; :turn 0 ; :conv ?c . ?b :conv ?c }", "SELECT 'http://ex/conversations/' || conv_id || '-' || turn AS b, turn AS v FROM conversations"),
     "chain_closure": _q("SELECT (COUNT(*) AS ?n) WHERE { ?a :next+ ?b }", "SELECT CAST(sum(k * (k - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM conversations GROUP BY conv_id)"),
 }
+# -- paths from every customer
+QUERIES |= {
+    "khop_enumerate_customers": _q(
+        "SELECT ?c (kHopEnumerate(?c, <http://ex/region/1>, true, 2, {:nation, :region}) AS ?v) WHERE { ?c a :Customer }",
+        "SELECT 'http://ex/customer/' || c_custkey AS c, CASE WHEN n_regionkey = 1 THEN '<http://ex/customer/' || c_custkey || '> <http://ex/nation> <http://ex/nation/' || n_nationkey || '> <http://ex/region> <http://ex/region/1>' END AS v FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    ),
+    "cycle_customers": _q("SELECT ?c (cycleBoolean(?c, <http://ex/nation/3>, false, {:nation}) AS ?v) WHERE { ?c a :Customer }", "SELECT 'http://ex/customer/' || c_custkey AS c, c_nationkey = 3 AS v FROM customer"),
+    "two_calls": _q(
+        "SELECT ?c (shortestPathLen(?c, <http://ex/region/1>, true, {:nation, :region}) AS ?v) (kHopReachable(<http://ex/nation/3>, ?c, false, 1, {:nation}) AS ?w) WHERE { ?c a :Customer }",
+        "SELECT 'http://ex/customer/' || c_custkey AS c, CASE WHEN n_regionkey = 1 THEN CAST(2 AS BIGINT) END AS v, c_nationkey = 3 AS w FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    ),
+}
 # -- top-k over longer patterns
 QUERIES |= {
     "topk_long_chain": _q(

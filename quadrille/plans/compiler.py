@@ -122,6 +122,10 @@ class Compiler:
         if isinstance(test, S.Exists):
             inner = [p.expr for p in test.group.parts if isinstance(p, S.Filter)]
             right = self.group(test.group, filters=False)
+            certain = {v for v, b in right.vars.items() if not b.maybe}
+            for t in [t for t in inner if _variables(t) <= certain]:  # sees nothing from outside
+                right = self.filter(right, t)
+                inner.remove(t)
 
             def condition(scope):
                 out = F.lit(True)

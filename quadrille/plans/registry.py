@@ -135,11 +135,12 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of account balances within one hop against the edge direction of :nation."""
+    """Bounds of the account balances that nations and regions reach in one and two hops
+    against the edges :nation and :region."""
     g = driver_graph(spark, sf_dir)
     numbers = run(g, "SELECT ?s ?value WHERE { ?s a :Customer ; :acctbal ?value }", PREFIXES).select(F.concat(F.lit("<"), "s", F.lit(">")).alias("s"), F.lit("acctbal").alias("p"), "value")
-    edges = g.edges(["http://ex/nation"]).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-    return hop_stats(edges, numbers, 1).where("hop = 1").select("v", "p", "lo", "hi")
+    edges = g.edges([EX + "nation", EX + "region"]).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    return hop_stats(edges, numbers, 2).where("hop > 0").select("v", "p", "hop", "lo", "hi")
 
 
 SCANS = {f.__name__: f for f in (predicate_stats, all_entities, all_predicates, type_counts, ntriples, tsv_sink, json_sink, update_counts)}
@@ -164,5 +165,5 @@ def oracle_sql():
         "json_sink": f"SELECT '{{\"c\":{{\"type\":\"uri\",\"value\":\"http://ex/customer/' || c_custkey || '\"}},\"b\":{{\"type\":\"literal\",\"value\":\"' || CAST(c_acctbal AS VARCHAR) || '\",\"datatype\":\"{XSD}double\"}}' || coalesce(',\"o\":{{\"type\":\"uri\",\"value\":\"http://ex/orders/' || o_orderkey || '\"}}', '') || '}}' AS value FROM {solutions}",
         "update_counts": "SELECT count(*) AS deleted, CAST(2 AS BIGINT) AS inserted FROM part",
         "type_counts": " UNION ALL ".join(f"SELECT 'http://ex/{c}' AS type, count(*) AS n FROM {t}" for c, t in tables.items()),
-        "hop_stats": "SELECT '<http://ex/nation/' || c_nationkey || '>' AS v, 'acctbal' AS p, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY c_nationkey",
+        "hop_stats": "SELECT '<http://ex/nation/' || c_nationkey || '>' AS v, 'acctbal' AS p, 1 AS hop, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY c_nationkey UNION ALL SELECT '<http://ex/region/' || n_regionkey || '>', 'acctbal', 2, min(c_acctbal), max(c_acctbal) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey",
     }

@@ -158,7 +158,8 @@ def _lacking(a: Relation, parts: list[tuple[set[str], Relation]], own: set[str],
 
 
 def _joined(a: Relation, b: Relation, common: set[str], condition: Column | None) -> Relation:
-    df = a.df.join(b.df, _equal(a, b, common)) if common else a.df.crossJoin(b.df)
+    # few rows bind nothing in common, if any: a product whose tasks are pairs of partitions
+    df = a.df.join(b.df, _equal(a, b, common)) if common else a.df.crossJoin(b.df.hint("shuffle_replicate_nl"))
     return _picked(df if condition is None else df.where(condition), a, b, False)
 
 

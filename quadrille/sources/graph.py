@@ -208,8 +208,9 @@ class MappedGraph(Graph):
         out = []
         for subject, star in stars.items():
             groups: dict[tuple, list[Triple]] = {}
+            allowed = self._referred(subject, triples)
             for t in star:
-                groups.setdefault(tuple(i for i, tab in enumerate(self.tables) if self._has(tab, t)), []).append(t)
+                groups.setdefault(tuple(i for i, tab in enumerate(self.tables) if self._has(tab, t) and (allowed is None or tab.template in allowed)), []).append(t)
             common = set.intersection(*map(set, groups))
             if common or not all(groups):
                 groups = {tuple(sorted(common)): star}
@@ -219,6 +220,16 @@ class MappedGraph(Graph):
         out.sort(key=lambda r: len(r.vars))
         return out
 
+    def _referred(self, subject, triples: list[Triple]) -> set[str] | None:
+        """Templates that a subject can have, being the object of other patterns as well."""
+        allowed = None
+        for t in triples:
+            if t.o == subject and isinstance(subject, Var) and isinstance(t.p, Iri) and t.p.text != T.RDF_TYPE:
+                columns = [tab.columns[t.p.text] for tab in self.tables if t.p.text in tab.columns]
+                own = {c[1] for c in columns if isinstance(c, tuple)}
+                allowed = own if allowed is None else allowed & own
+        return allowed
+
     @staticmethod
     def _has(tab: Table, t: Triple) -> bool:
         if isinstance(t.s, Iri) and not t.s.text.startswith(tab.template):

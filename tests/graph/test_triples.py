@@ -11,6 +11,7 @@ from quadrille.operators.updates import changed, update
 from quadrille.plans.compiler import run
 from quadrille.plans.expressions import register_function
 from quadrille.plans.syntax import QueryError, parse_query
+from quadrille.sources.catalog import Catalog
 from quadrille.sources.files import from_text, parse_ntriples, parse_turtle, read_ntriples, read_turtle, write_ntriples
 from quadrille.sources.graph import TripleGraph
 from quadrille.sources.results import to_json, to_tsv
@@ -234,3 +235,19 @@ def test_searches_from_the_side_of_fewer_nodes(spark):
         assert {(r.src, r.dst): r.value for r in path_call("shortestpath", df, edges, True, None)[0].collect()} == want
         assert {(r.src, r.dst): r.value for r in path_call("shortestpathlen", df, edges, True, None)[0].collect()} == {k: v.count(" ") // 2 for k, v in want.items()}
         assert {(r.src, r.dst) for r in path_call("khopreachable", df, edges, True, 2)[0].collect()} == {k for k, v in want.items() if v.count(" ") <= 4}
+
+
+def test_catalog(spark, tmp_path, g):
+    catalog = Catalog(spark, str(tmp_path))
+    assert catalog.names() == []
+    catalog.build("people", g)
+    catalog.build("few", from_text(spark, "@prefix : <http://x/> . :a :p :b ."))
+    assert catalog.names() == ["few", "people"]
+    assert rows(catalog.load("few"), "SELECT ?o WHERE { :a :p ?o }") == ids("b")
+    assert [tuple(r) for r in run(catalog.system(), 'SELECT ?d ?n WHERE { ?d <database_status> "already_built" ; <triples> ?n } ORDER BY ?d', P).collect()] == [("few", "1"), ("people", str(g.triples().count()))]
+    for bad in (lambda: catalog.build("few", g), lambda: catalog.load("none"), lambda: catalog.build("../x", g)):
+        with pytest.raises(QueryError):
+            bad()
+    catalog.drop("few")
+    assert catalog.names() == ["people"]
+    assert catalog.build("few", g).triples().count() == g.triples().count()
