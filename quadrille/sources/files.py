@@ -55,10 +55,14 @@ def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def parse_ntriples(lines: DataFrame) -> TripleGraph:
-    """Triples of lines (column value); lines that are no triple are skipped."""
+def ntriples_terms(lines: DataFrame) -> DataFrame:
+    """s, p, o of lines (column value); lines that are no triple are skipped."""
     terms = _once(lines, [F.regexp_extract("value", _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
-    return TripleGraph.of(_canonical(_once(terms, [_plain_characters(F.col(n)).alias(n) for n in "spo"])))
+    return _canonical(_once(terms, [_plain_characters(F.col(n)).alias(n) for n in "spo"]))
+
+
+def parse_ntriples(lines: DataFrame) -> TripleGraph:
+    return TripleGraph.of(ntriples_terms(lines))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> TripleGraph:

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quadrille.sources.files import _NT, _canonical
+from quadrille.sources.files import ntriples_terms
 
 
 def triple_stream(spark: SparkSession, folder: str) -> DataFrame:
     """s, p, o of each new file's lines."""
-    lines = spark.readStream.text(folder)
-    parts = [F.regexp_extract("value", _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]
-    return _canonical(lines.select(*parts).where("s <> ''"))
+    return ntriples_terms(spark.readStream.text(folder))
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
