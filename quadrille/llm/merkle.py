@@ -85,26 +85,28 @@ def _digest(kind: bytes, children: list[bytes]) -> bytes:
 
 class Tree:
     """text; sections: (digest, characters, paragraphs); paragraphs: (digest, characters,
-    leaves); leaves: (digest, characters)."""
+    leaves); leaves: (digest, characters). ``lines``: the paragraph of each line, which
+    trees of similar texts (``like``) needn't make again."""
 
-    __slots__ = ("root", "size", "sections", "text")
+    __slots__ = ("lines", "root", "sections", "size", "text")
 
-    def __init__(self, text: str):
-        self.size, self.sections, self.text = len(text), [], text
+    def __init__(self, text: str, *like: "Tree"):
+        self.size, self.sections, self.text, self.lines = len(text), [], text, {}
         start, cuts = 0, [m.end() for m in _SECTION.finditer(text)]
         for end in [*cuts, len(text)]:
             if end > start:
-                self.sections.append(self._section(text[start:end]))
+                paragraphs = [self._paragraph(line, like) for line in _LINE.findall(text[start:end])]
+                self.sections.append((_digest(b"S", [p[0] for p in paragraphs]), end - start, paragraphs))
             start = end
         self.root = hashlib.sha256(b"R%d:" % self.size + b"".join(s[0] for s in self.sections)).hexdigest()
 
-    @staticmethod
-    def _section(text: str):
-        paragraphs = []
-        for line in _LINE.findall(text):
-            leaves = [(hashlib.blake2b(x.encode(), digest_size=16).digest(), len(x)) for x in _leaves(line)]
-            paragraphs.append((_digest(b"P", [d for d, _ in leaves]), len(line), leaves))
-        return _digest(b"S", [p[0] for p in paragraphs]), len(text), paragraphs
+    def _paragraph(self, line: str, like: tuple):
+        for tree in (self, *like):
+            if (found := tree.lines.get(line)) is not None:
+                return found
+        leaves = [(hashlib.blake2b(x.encode(), digest_size=16).digest(), len(x)) for x in _leaves(line)]
+        found = self.lines[line] = _digest(b"P", [d for d, _ in leaves]), len(line), leaves
+        return found
 
 
 def _rising(places: list[int]) -> list[int]:
@@ -137,16 +139,15 @@ def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     while tail < most - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     pairs = [(i, i) for i in range(head)]
-    if head + tail < most:
-        where, times = {}, Counter()
-        for j in range(head, len(b) - tail):
-            where[b[j], times[b[j]]] = j
-            times[b[j]] += 1
-        met, times = [], Counter()
+    if head + tail < most and (both := set(a[head : len(a) - tail]).intersection(b[head : len(b) - tail])):
+        places = {x: [] for x in both}
+        for j in range(len(b) - tail - 1, head - 1, -1):
+            if b[j] in both:
+                places[b[j]].append(j)
+        met = []
         for i in range(head, len(a) - tail):
-            if (j := where.get((a[i], times[a[i]]))) is not None:
-                met.append((i, j))
-            times[a[i]] += 1
+            if a[i] in both and places[a[i]]:
+                met.append((i, places[a[i]].pop()))
         pairs += [met[k] for k in _rising([j for _, j in met])]
     return pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
@@ -168,7 +169,10 @@ def edits(a: "Tree", b: "Tree") -> list[tuple[int, int, int, int]]:
     def open_(xs: list, x: int, ys: list, y: int, level: int) -> None:
         i = j = 0
         for p, q in [*aligned([n[0] for n in xs], [n[0] for n in ys]), (len(xs), len(ys))]:
-            x_end, y_end = x + sum(n[1] for n in xs[i:p]), y + sum(n[1] for n in ys[j:q])
+            if i == p and j == q and p < len(xs):  # nothing between two equal branches
+                x, y, i, j = x + xs[p][1], y + ys[q][1], p + 1, q + 1
+                continue
+            x_end, y_end = x + sum([n[1] for n in xs[i:p]]), y + sum([n[1] for n in ys[j:q]])
             if x < x_end and y < y_end and level < 2:
                 open_([c for n in xs[i:p] for c in n[2]], x, [c for n in ys[j:q] for c in n[2]], y, level + 1)
             elif x < x_end or y < y_end:
@@ -231,7 +235,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if before is not None:
                 old_id, old, old_tree = before
                 new = edited(old, text)
-                new_tree = Tree(new)
+                new_tree = Tree(new, old_tree, tree)
                 found = edits(old_tree, new_tree)
                 spans = [{"start": s, "length": e - s} for s, e, _, _ in found]
                 for column, value in zip(out, (old_id, len(old), sha256_hex(new.encode()), old_tree.root, new_tree.root, likeness(old_tree, new_tree, found), likeness(old_tree, tree), spans), strict=True):
