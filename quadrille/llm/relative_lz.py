@@ -18,7 +18,9 @@ in order and a sorted index of its word windows.
 Scale: text crosses the network once to form blocks, and each distinct stretch once to be
 parsed; besides, about six bytes for each distinct window of a block. A passage in every
 document costs one entry a block, and is combined to one row before it reaches its
-reference. A hot source or doc_id is only more blocks.
+reference. Where very many different stretches have one reference (a large group of near
+copies), they are dealt to salts, each with a copy of the reference. A hot source or doc_id
+is only more blocks.
 
 Defined cases: null or blank text has no words; a text shorter than a window keeps
 all its words; a null doc_id comes before all others; rows of one doc_id (or of none) are
@@ -37,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.exchange import answer, ask, block_count, by_range, freeing, groups, in_order, runs, unpack, unpacked
-from quadrille.llm.textops import U64, mix, rolling, span_hashes, utf8_column, windows_in_docs, word_spans
+from quadrille.llm.textops import U64, mix, rolling, span_hashes, text_bytes, utf8_column, windows_in_docs, word_spans
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, length: long, reference: long, position: long>>"
 _FACTOR = pa.struct([(x, pa.int64()) for x in ("start", "length", "reference", "position")])
 _STRETCH = "reference long, digest binary, block long, words binary"
 _PARSED = "reference long, digest binary, blocks array<long>, factors binary"
+_SENT = ["reference", "digest", "words", "blocks"]
 _STRETCH_ARROW = pa.schema([("reference", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()), ("words", pa.binary())])
 _PARSED_ARROW = pa.schema([("reference", pa.int64()), ("digest", pa.binary()), ("blocks", pa.list_(pa.int64())), ("factors", pa.binary())])
 
@@ -255,13 +258,14 @@ def _finish(width: int):
     return finish
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int | None = None, stretch_bytes: int | None = None) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts
     earlier. One row per row of ``docs``: doc_id, n_words, n_removed, kept_text and
     the factors (first word, words, reference block, place among its words)."""
     src = docs.select("doc_id", "text")
     n, n_ranges = block_count(src, block_bytes)
     blocks = by_range(src, n)
+    stretch_bytes = stretch_bytes or -(-text_bytes(src) // n)
 
     def keys_of(table: pa.Table):
         found = np.sort(_words(table).windows(width)[0])
@@ -271,8 +275,15 @@ def substring_dedup(docs: DataFrame, width: int = 20, block_bytes: int | None =
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freeing(_send(width)), _STRETCH)
     # the blocks that wait for a stretch: 8 bytes each
     distinct = sent.groupBy("reference", "digest").agg(F.any_value("words").alias("words"), F.collect_list("block").alias("blocks"))
-    parsed = blocks.groupBy("block").cogroup(distinct.groupBy("reference")).applyInArrow(freeing(_parse(width)), _PARSED)
-    back = parsed.select("reference", "digest", "factors", F.explode("blocks").alias("block"))
+    size = F.sum(F.octet_length("words") + 8 * F.size("blocks"))
+    # a copy of a block is made for as much text as it has, four times over
+    salts = distinct.groupBy("reference").agg(F.ceil(size / (4 * stretch_bytes)).alias("salts"))
+    dealt = distinct.join(salts, "reference").withColumn("salt", F.pmod(F.xxhash64("digest"), "salts"))
+    parse = freeing(_parse(width))
+    parsed = blocks.groupBy("block").cogroup(dealt.where("salts = 1").select(_SENT).groupBy("reference")).applyInArrow(parse, _PARSED)
+    copies = blocks.join(salts.where("salts > 1").withColumnRenamed("reference", "block"), "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    hot = copies.groupBy("block", "salt").cogroup(dealt.where("salts > 1").select(*_SENT, "salt").groupBy("reference", "salt")).applyInArrow(parse, _PARSED)
+    back = parsed.unionByName(hot).select("reference", "digest", "factors", F.explode("blocks").alias("block"))
     none = F.lit(None)
     replies = answers.select("block", "part", "reply", none.cast("long").alias("reference"), none.cast("binary").alias("digest"))
     replies = replies.unionByName(back.select("block", none.cast("int").alias("part"), F.col("factors").alias("reply"), "reference", "digest"))

@@ -148,8 +148,8 @@ def test_substring_dedup(odd, empty):
                 gone[k : k + 20] = [True] * 20
             seen.add(g)
         want[i, len(w), sum(gone), b" ".join(x for x, y in zip(w, gone, strict=True) if not y).decode()] += 1
-    for block in (5_000, 40_000):
-        got = substring_dedup(odd, block_bytes=block).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    for block, stretch in ((5_000, None), (40_000, 500)):
+        got = substring_dedup(odd, block_bytes=block, stretch_bytes=stretch).select("doc_id", "n_words", "n_removed", "kept_text").collect()
         assert as_counter(got) == want
     assert substring_dedup(empty).count() == 0
 
