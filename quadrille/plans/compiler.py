@@ -414,16 +414,14 @@ def instantiate(rel: Relation, template: list[S.Triple]) -> DataFrame:
 
 
 def describe(compiler: Compiler, q: S.Query) -> DataFrame:
-    spark, t = compiler.graph.spark, compiler.graph.triples()
-    fixed = [constant_term(x) for x in q.targets if not isinstance(x, S.Var)]
-    nodes = spark.createDataFrame([(x,) for x in fixed], "n string")
+    graph = compiler.graph
+    parts = [graph.matching(**{end: x}) for x in q.targets if not isinstance(x, S.Var) for end in "so"]
     names = [x.name for x in q.targets if isinstance(x, S.Var)]
     if names:
-        rel = promoted(compiler.group(q.where), names)
-        for n in names:
-            nodes = nodes.union(rel.df.select(rel.vars[n].col))
-    nodes = nodes.distinct()
-    return t.join(nodes, t.s == nodes.n, "left_semi").union(t.join(nodes, t.o == nodes.n, "left_semi")).distinct()
+        rel, t = promoted(compiler.group(q.where), names), graph.triples()
+        nodes = reduce(DataFrame.unionAll, [rel.df.select(F.col(rel.vars[n].col).alias("n")) for n in names]).distinct()
+        parts += [t.join(nodes, t[end] == nodes.n, "left_semi") for end in "so"]
+    return reduce(DataFrame.unionAll, parts).distinct()
 
 
 def run(graph: Graph, text: str, prefixes: dict[str, str] | None = None, terms: bool = False, method: str | None = None) -> DataFrame:

@@ -64,6 +64,13 @@ class Graph:
         rel = promoted(self.bgp([Triple(Var("s"), Iri(predicate), Var("o"))]), ["s", "o"])
         return rel.df.select(F.col(rel.vars["s"].col).alias("s"), F.col(rel.vars["o"].col).alias("o"))
 
+    def matching(self, s=None, o=None) -> DataFrame:
+        """s, p, o of the triples with a constant subject or object, as canonical terms."""
+        ends = {"s": s or Var("s"), "p": Var("p"), "o": o or Var("o")}
+        rel = self.bgp([Triple(*ends.values())])
+        rel = promoted(rel, rel.vars)
+        return rel.df.select(*[(F.col(rel.vars[n].col) if isinstance(x, Var) else F.lit(constant_term(x))).alias(n) for n, x in ends.items()])
+
     def edges(self, predicates: list[str]) -> DataFrame:
         """s, p, o whose object is a node; of all predicates where none is named."""
         if predicates:
@@ -267,7 +274,9 @@ class MappedGraph(Graph):
         loose = []
         for t in star:
             if isinstance(t.p, Var):
-                loose.append(t)
+                loose.append((t, self._candidates(tab, t.o)))
+                if not loose[-1][1]:
+                    return None
             elif t.p.text == T.RDF_TYPE:
                 if isinstance(t.o, Var) and not bind(t.o.name, F.lit(tab.cls), "iri"):
                     return None
@@ -285,9 +294,10 @@ class MappedGraph(Graph):
             df = df.where(w)
         names = {v: Binding(fresh(), kind, template) for v, (_, kind, template) in found.items()}
         key = fresh()
-        rel = Relation(df.select(*[c.alias(names[v].col) for v, (c, _, _) in found.items()], *([F.struct("*").alias(key)] if loose else [])), names)
-        for t in loose:
-            rel = self._any_predicate(tab, rel, key, t)
+        row = dict.fromkeys(source for _, ways in loose for _, source, _, _ in ways if source)
+        rel = Relation(df.select(*[c.alias(names[v].col) for v, (c, _, _) in found.items()], *([F.struct(F.lit(True).alias("row"), *row).alias(key)] if loose else [])), names)
+        for t, ways in loose:
+            rel = self._any_predicate(tab, rel, key, t, ways)
         if loose:
             return Relation(rel.df.select(*[b.col for b in rel.vars.values()]), rel.vars)
         rel.key = subject.name if isinstance(subject, Var) and tab.unique else None
@@ -307,19 +317,28 @@ class MappedGraph(Graph):
             return col == T.universal_time(F.lit(x.lex)) if x.datatype in (T.XSD + "dateTime", T.XSD + "date") else None
         return col == F.lit(x.lex in ("true", "1")) if kind == "bool" and x.datatype == T.XSD + "boolean" else None
 
-    def _any_predicate(self, tab: Table, rel: Relation, row: str, t: Triple) -> Relation:
-        from quadrille.plans.relation import term_column
-
-        pairs = [F.struct(F.lit(f"<{T.RDF_TYPE}>").alias("p"), F.lit(f"<{tab.cls}>").alias("o"))]
-        inner = tab.df.columns
-        for predicate in tab.columns:
-            c = tab.columns[predicate]
-            kind, template = tab.object(predicate)[1:]
+    @staticmethod
+    def _candidates(tab: Table, o) -> list[tuple[str, str | None, str, str]]:
+        """Predicate, column (None: the class), kind and template of what a variable
+        predicate can be, given the object."""
+        ways = [(T.RDF_TYPE, None, "iri", tab.cls)]
+        for predicate, c in tab.columns.items():
             source = c[0] if isinstance(c, tuple) else c
-            value = F.col(f"{row}.{source}") if source in inner else None
-            if value is None:
+            if source not in tab.df.columns:
                 raise QueryError(f"a computed column can't be reached by a variable predicate: {source}")
-            pairs.append(F.struct(F.lit(f"<{predicate}>").alias("p"), term_column(value, kind, template).alias("o")))
+            ways.append((predicate, source, *tab.object(predicate)[1:]))
+        if isinstance(o, Var):
+            return ways
+        if isinstance(o, Iri):
+            return [w for w in ways if w[2] == "iri" and (o.text.startswith(w[3]) if w[1] else o.text == w[3])]
+        return [w for w in ways if w[2] != "iri"] if isinstance(o, Lit) else []
+
+    def _any_predicate(self, tab: Table, rel: Relation, row: str, t: Triple, ways: list) -> Relation:
+        from quadrille.plans.relation import term_column
+
+        pairs = [F.struct(F.lit(f"<{predicate}>").alias("p"), (term_column(F.col(f"{row}.{source}"), kind, template) if source else F.lit(f"<{tab.cls}>")).alias("o")) for predicate, source, kind, template in ways]
+        if isinstance(t.o, Iri) and all(source for _, source, _, _ in ways):  # before terms are built
+            rel = Relation(rel.df.where(reduce(lambda x, y: x | y, [F.col(f"{row}.{source}").cast("string") == t.o.text[len(template) :] for _, source, _, template in ways])), rel.vars)
         e = fresh()
         df = rel.df.withColumn(e, F.explode(F.array(*pairs))).where(F.col(f"{e}.o").isNotNull())
         out, cols = dict(rel.vars), [F.col(b.col) for b in rel.vars.values()] + [F.col(row)]
