@@ -158,8 +158,10 @@ def _lacking(a: Relation, parts: list[tuple[set[str], Relation]], own: set[str],
 
 
 def _joined(a: Relation, b: Relation, common: set[str], condition: Column | None) -> Relation:
-    # few rows bind nothing in common, if any: a product whose tasks are pairs of partitions
-    df = a.df.join(b.df, _equal(a, b, common)) if common else a.df.crossJoin(b.df.hint("shuffle_replicate_nl"))
+    # few rows of a bind nothing in common, if any: a product whose tasks are pairs of partitions. Its
+    # left side is the outer loop: those few are what is held, and their terms repeat at short distances,
+    # so that files of the product compress to little
+    df = a.df.join(b.df, _equal(a, b, common)) if common else b.df.hint("shuffle_replicate_nl").crossJoin(a.df)
     return _picked(df if condition is None else df.where(condition), a, b, False)
 
 

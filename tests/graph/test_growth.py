@@ -42,3 +42,9 @@ def test_variable_predicate_of_a_constant_object(spark, text, term):
     g = driver_graph(spark, SF).of_classes(*[f"http://ex/{c}" for c in ("Region", "Nation", "Customer")])
     got = [(f"<{r.s}>", f"<{r.p}>") for r in run(g, f"SELECT ?s ?p WHERE {{ ?s ?p {text} }}", PREFIXES).collect()]
     assert sorted(got) == rows(g.triples().where(f"o = '{term}'").select("s", "p"))
+
+
+def test_product_holds_the_few_rows(spark):
+    plan = FOUND["optional_chain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    outer, held = plan.split("CartesianProduct")[1].split("FileScan parquet ")[1:3]
+    assert outer.startswith("[s_suppkey") and held.startswith("[o_orderkey")
