@@ -21,19 +21,22 @@ _RANGES = {"long": 63, "int": 31, "short": 15, "byte": 7}
 
 def well_typed(o: Column) -> Column:
     """False for integers out of their datatype's range and for NaN."""
-    kind, lex = T.datatype(o), T.lexical(o)
-    ok = F.lit(True)
+
+    def has(name: str) -> Column:
+        return o.startswith('"') & o.endswith(f'"^^<{T.XSD}{name}>')
+
+    most = F.lit(None).cast("decimal(20,0)")
     for name, bits in _RANGES.items():
-        value = lex.try_cast("decimal(38,0)")
-        inside = value.isNotNull() & value.between(F.lit(str(-(1 << bits))).cast("decimal(38,0)"), F.lit(str((1 << bits) - 1)).cast("decimal(38,0)"))
-        ok = F.when(kind == T.XSD + name, inside).otherwise(ok)
-    return F.when(kind.isin(T.XSD + "float", T.XSD + "double") & (F.upper(lex) == "NAN"), False).otherwise(ok)
+        most = F.when(has(name), F.lit(str((1 << bits) - 1)).cast("decimal(20,0)")).otherwise(most)
+    inside = F.coalesce(T.lexical(o).try_cast("decimal(38,0)").between(-most - 1, most), F.lit(False))
+    nan = (has("float") | has("double")) & (F.upper(F.left(o, F.lit(5))) == '"NAN"')
+    return F.when(most.isNotNull(), inside).otherwise(~nan)
 
 
 def _canonical(df: DataFrame) -> DataFrame:
     plain = f"^^<{T.XSD}string>"
     o = F.when(F.endswith("o", F.lit(plain)), F.expr(f"left(o, length(o) - {len(plain)})")).otherwise(F.col("o"))
-    return df.withColumn("o", o).where(well_typed(F.col("o")))
+    return df.where(well_typed(F.col("o"))).withColumn("o", o)
 
 
 def _plain_characters(term: Column) -> Column:
@@ -55,9 +58,28 @@ def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
+def _plain_lines(lines: DataFrame) -> DataFrame:
+    """Lines with s, p, o of those that are three terms with a blank between, a full stop
+    and no escape, tag or blank node, as most are: found without a regular expression. Of
+    others ``plain`` is false."""
+    at = lambda part, c, pos=1: F.locate(part, F.col(c), pos)
+    rest = lambda c, i: F.substring(c, i, F.length(c))
+    df = lines.select("value", at("> <", "value").alias("i"))
+    df = df.select("value", "i", F.left("value", F.col("i")).alias("s"), rest("value", F.col("i") + 2).alias("rest"))
+    df = df.select("value", "i", "s", "rest", at("> ", "rest").alias("j"))
+    df = df.select("value", "i", "s", "j", F.left("rest", F.col("j")).alias("p"), F.substring("rest", F.col("j") + 2, F.length("rest") - F.col("j") - 3).alias("o"))
+    df = df.select("*", at('"', "o", 2).alias("k"), F.length("o").alias("n"))
+    typed = (F.substring("o", F.col("k") + 1, F.lit(3)) == "^^<") & (F.length(F.substring_index(rest("o", F.col("k") + 1), ">", 1)) == F.col("n") - F.col("k") - 1)
+    literal = F.startswith("o", F.lit('"')) & (F.col("k") > 0) & ((F.col("k") == F.col("n")) | F.endswith("o", F.lit(">")) & typed)
+    iri = F.startswith("o", F.lit("<")) & (at(">", "o") == F.col("n"))
+    ends = F.startswith("value", F.lit("<")) & F.endswith("value", F.lit(" .")) & (F.instr("value", "\\") == 0)
+    plain = ends & (F.col("i") > 0) & (at(">", "s") == F.col("i")) & (F.col("j") > 0) & (at(">", "p") == F.col("j")) & (iri | literal)
+    return df.select("value", "s", "p", "o", F.coalesce(plain, F.lit(False)).alias("plain"))
+
+
 def ntriples_terms(lines: DataFrame) -> DataFrame:
     """s, p, o of lines (column value); lines that are no triple are skipped."""
-    terms = _once(lines, [F.regexp_extract("value", _NT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
+    terms = _once(_plain_lines(lines), [F.when(F.col("plain"), F.col(n)).otherwise(F.regexp_extract("value", _NT, i)).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
     return _canonical(_once(terms, [_plain_characters(F.col(n)).alias(n) for n in "spo"]))
 
 

@@ -61,3 +61,22 @@ def test_small_tables_that_meet_many_are_dealt_to_tasks(spark, monkeypatch):
         assert rows(df.na.fill("none")) == rows_
     chain = run(driver_graph(spark, SF), "SELECT ?o ?l WHERE { ?o :customer ?c . ?c :nation ?n . ?l :order ?o }", PREFIXES)
     assert "RoundRobin" not in chain._jdf.queryExecution().executedPlan().toString()  # an order's lines are one order's
+
+
+def test_plain_lines_are_read_as_all_lines_are(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.sources import files
+
+    subjects = ["<a>", "<>", "<a b>", "_:x", "<a> <b>", "<a\\u0041>", "<a>x"]
+    objects = ["<c>", "<>", "<c d>", "<c>>", "_:y", '""', '"a"', '"a b . "', '"é"@en', '"5"^^<t>', '"5"^^<>', '"5"^^<t>>', '"5"^^t', '"5"^<t>', '"a" "b"', '"a', '"', 'a"', '"a\\"b"', '"\\u00e9"', '"> <"', '"a> b"^^<x y>', "", "5", '"nan"^^<http://www.w3.org/2001/XMLSchema#double>', '"300"^^<http://www.w3.org/2001/XMLSchema#byte>', '"-7"^^<http://www.w3.org/2001/XMLSchema#byte>', '"x"^^<http://www.w3.org/2001/XMLSchema#string>']
+    ends = [" .", ".", " . ", " . # c", "  .", " ..", " . <x> .", ""]
+    lines = spark.createDataFrame([(f"{s} <p> {o}{e}",) for s in subjects for o in objects for e in ends] + [("<a>\t<p> <c> .",), ("<a> <p>  <c> .",), ("<a> p <c> .",), ("<a> <p>",), (" <a> <p> <c> .",), ("",), (None,)], "value string").repartition(1).cache()
+    found = files._plain_lines(lines).where("plain")
+    groups = [F.regexp_extract("value", files._NT, i) for i in (1, 2, 3)]
+    assert found.count() > 20  # of whatever form, what is found is what the expression finds
+    assert found.where((groups[0] != F.col("s")) | (groups[1] != F.col("p")) | (groups[2] != F.col("o"))).count() == 0
+    got = rows(files.ntriples_terms(lines).distinct())
+    assert ("<a>", "<p>", '"x"') in got and ("<aA>", "<p>", '"é"') in got and not any("nan" in o or "300" in o for _, _, o in got)
+    slow = files._once(lines, [g.alias(n) for g, n in zip(groups, "spo", strict=True)]).where("s <> ''")
+    assert rows(files._canonical(files._once(slow, [files._plain_characters(F.col(n)).alias(n) for n in "spo"])).distinct()) == got
