@@ -21,7 +21,15 @@ from quadrille.functions.lineage import cut
 
 def both_ways(edges: DataFrame, directed: bool) -> DataFrame:
     edges = edges.select("s", "p", "o")
-    return edges if directed else edges.union(edges.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))).distinct()
+    return edges if directed else edges.union(edges.select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
+
+
+# Terms up to which a frontier is sent whole to where the edges are, so that those needn't be shuffled.
+_FEW = 200_000
+
+
+def _small(df: DataFrame, terms: int) -> DataFrame:
+    return F.broadcast(df) if terms <= _FEW else df
 
 
 def _any(frames: list[DataFrame]) -> DataFrame:
@@ -38,11 +46,14 @@ def shortest(pairs: DataFrame, edges: DataFrame, k: int | None = None, paths: bo
     left = pairs.select(F.col(root).alias("root"), F.col(goal).alias("goal"))
     links = edges.select(F.col(near).alias("node"), F.col(far).alias("to"), "p")
     if not paths:
-        links = links.select("node", "to").distinct()
+        links = links.select("node", "to")
     keep = ["root", "node", *(["path"] if paths else [])]
     front = cut(left.select("root").distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")).select(keep))
     rounds, found, depth = [front], [], 0
+    size = seen = min(sizes)
     while True:
+        width = 2 * depth + 2 if paths else 2
+        front = _small(front, size * width)
         met = cut(left.join(front.withColumnRenamed("node", "goal"), ["root", "goal"]).withColumn("depth", F.lit(depth)))
         if not met.isEmpty():
             found.append(met)
@@ -52,16 +63,19 @@ def shortest(pairs: DataFrame, edges: DataFrame, k: int | None = None, paths: bo
         if depth == k:
             break
         depth += 1
-        live = front.join(left.select("root").distinct(), "root", "left_semi") if found else front
+        roots = _small(left.select("root").distinct(), min(sizes))
+        live = _small(front.join(roots, "root", "left_semi"), size * width) if found and min(sizes) > 1 else front
         step = live.join(links, "node")
         if paths:
             way = F.concat("path", F.array("p", "to")) if ahead else F.concat(F.array("to", "p"), "path")
             fresh = step.select("root", F.col("to").alias("node"), way.alias("path")).groupBy("root", "node").agg(F.min("path").alias("path"))
         else:
             fresh = step.select("root", F.col("to").alias("node")).distinct()
-        front = cut(fresh.join(_any([r.select("root", "node") for r in rounds]), ["root", "node"], "left_anti"))
-        if front.isEmpty():
+        visited = _small(_any([r.select("root", "node") for r in rounds]), 2 * seen)
+        front = cut(fresh.join(visited, ["root", "node"], "left_anti"))
+        if not (size := front.count()):
             break
+        seen += size
         rounds.append(front)
     got = _any(found) if found else met
     return got.withColumnsRenamed({"root": root, "goal": goal})
@@ -136,6 +150,8 @@ def path_call(name: str, pairs: DataFrame, edges: DataFrame, directed: bool, k:
     """src, dst, value of a call for each pair, and the value's kind. Booleans and lengths
     of unconnected pairs are absent (false and null after a left join)."""
     edges = both_ways(edges, directed)
+    if name in ("simplecyclepath", "simplecycleboolean", "khopenumerate"):
+        edges = edges.distinct()
     bound = k if k is not None and k >= 0 else None
     if name in ("cyclepath", "cycleboolean"):
         got = cycles(pairs, edges, directed, name == "cyclepath")

@@ -80,7 +80,8 @@ ON_STORED = {
 
 def stored(spark: SparkSession, sf_dir: str) -> TripleGraph:
     """The tables of STORED, whole, as stored triples."""
-    return TripleGraph(driver_graph(spark, sf_dir).of_classes(*[EX + cls for cls, _, _ in STORED.values()]).triples())
+    g = driver_graph(spark, sf_dir).of_classes(*[EX + cls for cls, _, _ in STORED.values()])
+    return TripleGraph(g.triples(), g.links())
 
 
 def _sparql(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,14 +71,17 @@ class Graph:
         rel = promoted(rel, rel.vars)
         return rel.df.select(*[(F.col(rel.vars[n].col) if isinstance(x, Var) else F.lit(constant_term(x))).alias(n) for n, x in ends.items()])
 
+    def links(self) -> DataFrame:
+        """s, p, o of all triples whose object is a node."""
+        return self.triples().where(~T.is_literal(F.col("o")))
+
     def edges(self, predicates: list[str]) -> DataFrame:
-        """s, p, o whose object is a node; of all predicates where none is named."""
-        if predicates:
-            parts = [self.pairs(p).select("s", F.lit(f"<{p}>").alias("p"), "o") for p in predicates]
-            all_ = reduce(DataFrame.unionAll, parts)
-        else:
-            all_ = self.triples()
-        return all_.where(~T.is_literal(F.col("o"))).distinct()
+        """s, p, o whose object is a node; of all predicates where none is named. A row of
+        tables can repeat one."""
+        if not predicates:
+            return self.links()
+        parts = [self.pairs(p).select("s", F.lit(f"<{p}>").alias("p"), "o") for p in predicates]
+        return reduce(DataFrame.unionAll, parts).where(~T.is_literal(F.col("o")))
 
     def nodes(self, literals: bool = True) -> DataFrame:
         """n: every subject and object; without ``literals`` those that can be subjects."""
@@ -99,10 +102,11 @@ class Graph:
 
 class TripleGraph(Graph):
     """A set of triples in a frame of three term columns. Stored partitioned by p, a bound
-    predicate prunes to its folder."""
+    predicate prunes to its folder. links: those whose object is a node, where they can be
+    had without the others."""
 
-    def __init__(self, df: DataFrame):
-        self.df, self.spark = df.select("s", "p", "o"), df.sparkSession
+    def __init__(self, df: DataFrame, links: DataFrame | None = None):
+        self.df, self.spark, self._links = df.select("s", "p", "o"), df.sparkSession, links
 
     @classmethod
     def of(cls, df: DataFrame) -> TripleGraph:
@@ -119,6 +123,9 @@ class TripleGraph(Graph):
     def triples(self) -> DataFrame:
         return self.df
 
+    def links(self) -> DataFrame:
+        return super().links() if self._links is None else self._links
+
     def scans(self, triples):
         return sorted((self._scan(t) for t in triples), key=lambda r: len(r.vars))
 
@@ -208,6 +215,16 @@ class MappedGraph(Graph):
         rel = promoted(self.bgp([Triple(Var("s"), Var("p"), Var("o"))]), ["s", "p", "o"])
         return rel.df.select(*[F.col(rel.vars[x].col).alias(x) for x in "spo"])
 
+    def links(self) -> DataFrame:
+        from quadrille.plans.relation import term_column
+
+        parts = []
+        for tab in self.tables:
+            ways = [w for w in self._candidates(tab, Var("o")) if w[2] == "iri"]
+            pairs = [F.struct(F.lit(f"<{p}>").alias("p"), (term_column(F.col(source), kind, template) if source else F.lit(f"<{tab.cls}>")).alias("o")) for p, source, kind, template in ways]
+            parts.append(tab.df.select(term_column(tab.key, "iri", tab.template).alias("s"), F.explode(F.array(*pairs)).alias("e")).select("s", "e.p", "e.o").where("o is not null"))
+        return reduce(DataFrame.unionAll, parts)
+
     def scans(self, triples):
         stars: dict = {}
         for t in triples:

@@ -80,3 +80,25 @@ def test_plain_lines_are_read_as_all_lines_are(spark):
     assert ("<a>", "<p>", '"x"') in got and ("<aA>", "<p>", '"é"') in got and not any("nan" in o or "300" in o for _, _, o in got)
     slow = files._once(lines, [g.alias(n) for g, n in zip(groups, "spo", strict=True)]).where("s <> ''")
     assert rows(files._canonical(files._once(slow, [files._plain_characters(F.col(n)).alias(n) for n in "spo"])).distinct()) == got
+
+
+def test_searches_read_links_and_broadcast_small_frontiers(spark):
+    g = registry.stored(spark, SF)
+    assert rows(g.links()) == rows(g.triples().where("o NOT LIKE '\"%'"))
+    plan = g.edges([])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "o_totalprice" not in plan
+
+
+def test_searches_with_and_without_broadcasts(spark, monkeypatch):
+    from quadrille.operators.paths import path_call
+
+    edges = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a"), ("b", "q", "d"), ("x", "p", "a")], "s string, p string, o string")
+    pairs = spark.createDataFrame([("a", "c"), ("b", "a"), ("x", "d"), ("d", "x"), ("a", "a")], "src string, dst string")
+
+    def found():
+        return [rows(path_call(name, pairs, edges, directed, k)[0]) for name, directed, k in (("shortestpathlen", True, None), ("khopenumerate", True, 2))]
+
+    want = found()
+    assert want[0] == [("a", "a", 0), ("a", "c", 2), ("b", "a", 2), ("x", "d", 3)] and len(want[1]) == 2
+    monkeypatch.setattr("quadrille.operators.paths._FEW", -1)
+    assert found() == want
